@@ -23,6 +23,12 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(table(spark, sf_dir, "nodes"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.name_mapping import map_names
+
+    return map_names(table(spark, sf_dir, "entity_mapping_cache"), table(spark, sf_dir, "ontology_entity"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.components import verdict_groups
 
@@ -54,7 +60,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_collapsed, p5_found, p6_found, p6_pieces, p7_ids, p8_containers)
+    found = (p1_found, p1_collapsed, p3_found, p5_found, p6_found, p6_pieces, p7_ids, p8_containers)
     return {f.__name__: f for f in found}
 
 
