@@ -59,8 +59,20 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.truncation import cut_documents
+
+    return cut_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.truncation import source_shares
+
+    return source_shares(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_collapsed, p3_found, p5_found, p6_found, p6_pieces, p7_ids, p8_containers)
+    found = (p1_found, p1_collapsed, p3_found, p5_found, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_shares)
     return {f.__name__: f for f in found}
 
 
