@@ -29,6 +29,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_names(table(spark, sf_dir, "entity_mapping_cache"), table(spark, sf_dir, "ontology_entity"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.scan_repair import findings
+
+    return findings(table(spark, sf_dir, "chapter"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.components import verdict_groups
 
@@ -72,7 +78,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_collapsed, p3_found, p5_found, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_shares)
+    found = (p1_found, p1_collapsed, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_shares)
     return {f.__name__: f for f in found}
 
 
