@@ -55,6 +55,9 @@ def _alike(a: str, b: str) -> bool:
 _FRAME = re.compile(r"^(p[a4][g9q6][e3c]|p\.|pp\.|seite)?\s*([\[(—–-]*)\s*([0-9A-Za-z|]{1,7})\s*([\])—–-]*)\s*$", re.I)
 
 
+_DATA = re.compile(r"^\s*[-•]?\s*\d+(?:\.\d+)?\s*(?:bpm|ms|mm|mV|%)?\s*$")
+
+
 def _page_number(line: str) -> tuple[int, str] | None:
     """(number, style) of a line that is nothing but a page number."""
     m = _FRAME.match(line.strip())
@@ -87,7 +90,7 @@ def furniture(lines: list[str], title: str | None, book: str | None, first: int
 
     A page number continues the chapter's numbering from start_page on: of the
     bare numbers within its pages the longest rising chain in one style counts,
-    numbers beside a running head or a form feed first. The chapter's heading
+    numbers at page edges first and such among other figures last. The chapter's heading
     (the first line with text) is never furniture.
     """
     head = next((k for k, x in enumerate(lines) if x.strip()), None)
@@ -96,20 +99,20 @@ def furniture(lines: list[str], title: str | None, book: str | None, first: int
         return out
     top = last if last is not None and last >= first else first + 2000
     found = [(k, *n) for k, x in enumerate(lines) if k != head and k not in out and len(x) < 16 and (n := _page_number(x)) and first <= n[0] <= top]
-    best: list[int] = []
+    best: tuple[float, list[int]] = (0.0, [])
     for style in {s for *_, s in found}:
-        own = [(k, n, 2 if any(j in out or (0 <= j < len(lines) and lines[j].startswith("\x0c")) for j in (k - 1, k + 1)) or k >= len(lines) - 1 or lines[k].startswith("\x0c") else 1) for k, n, s in found if s == style]
-        chains: list[tuple[int, list[int], int]] = []
-        for k, n, w in own:
-            options = [c for c in chains if c[2] < n]
-            weight, path, _ = max(options, key=lambda c: (c[0] - 0.01 * (n - c[2])), default=(0, [], 0))
-            gap = 0 if not path else 0.3 * (n - [c for c in own if c[0] == path[-1]][0][1] - 1)
-            chains.append((weight + w - gap, [*path, k], n))
-        if chains:
-            chain = max(chains, key=lambda c: c[0])[1]
-            if len(chain) > len(best):
-                best = chain
-    return out | set(best)
+        chains: list[tuple[float, list[int], int]] = []
+        for k, n, s in found:
+            if s != style:
+                continue
+            near = [lines[j] for j in (k - 1, k + 1) if 0 <= j < len(lines) and j not in out]
+            edge = len(near) < 2 or any(x.startswith("\x0c") for x in [*near, lines[k]])
+            weight = 2.0 if edge else 0.4 if any(_DATA.match(x) for x in near) else 1.0
+            before = max((c for c in chains if c[2] < n), key=lambda c: c[0] - 0.3 * (n - c[2] - 1), default=(0.5, [], first - 1))
+            chains.append((before[0] + weight - 0.3 * (n - before[2] - 1), [*before[1], k], n))
+        top_chain = max(chains, key=lambda c: c[0])
+        best = max(best, (top_chain[0] + (0.5 if style else 0), top_chain[1]))
+    return out | set(best[1])
 
 
 def _core(token: str) -> str:
@@ -195,10 +198,13 @@ class Editor:
             if (op := single_edit(bad, good)) is not None:
                 support[op[1:]] += 1
                 examples.append((bad, op))
-        kept = {op for op, n in support.items() if n >= 3}
+        kept = {op for op, n in support.items() if n >= 2}
         table = defaultdict(list)
         for span, put in sorted(kept):
             table[span].append(put)
+        for span, puts in table.items():  # a digit in a letter's place may stand for a capital too
+            if span.isdigit():
+                puts += [p.upper() for p in puts if p.upper() not in puts]
         self.ops = dict(table)
         examples = [(w, op) for w, op in examples if op[1:] in kept]
         w: dict[tuple, float] = defaultdict(float)
