@@ -198,7 +198,7 @@ class Editor:
             if (op := single_edit(bad, good)) is not None:
                 support[op[1:]] += 1
                 examples.append((bad, op))
-        kept = {op for op, n in support.items() if n >= 2}
+        kept = {op for op, n in support.items() if n >= 2 and op[0].lower() != op[1].lower()}
         table = defaultdict(list)
         for span, put in sorted(kept):
             table[span].append(put)
