@@ -62,7 +62,7 @@ def connected_groups(edges: DataFrame, vertices: DataFrame | None = None) -> Dat
 
 def node_number(text):
     """The integer a node id stands for in any of its notations (12, " 12", 12.0, 0012, #12, n12, node:12), else null."""
-    digits = F.regexp_extract(text.cast("string"), r"^[\s\p{Z}]*(?i:node)?[\s:#n_-]*0*(\d{1,18})(?:\.0*)?[\s\p{Z}]*$", 1)
+    digits = F.regexp_extract(text.cast("string"), r"^[\s\p{Z}]*(?i:(?:node|n)[\s:#_-]*|#\s*)*0*(\d{1,18})(?:\.0*)?[\s\p{Z}]*$", 1)
     return F.when(digits != "", digits.cast("bigint"))
 
 
