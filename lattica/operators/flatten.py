@@ -30,7 +30,7 @@ SCHEMAS = {
 MISSING = frozenset(("", "nan", "none", "null", "n/a", "na"))
 
 _FENCE = re.compile(r"^\s*```[A-Za-z]*[ \t]*\r?\n?|\r?\n?\s*```\s*$")
-_NODE = re.compile(r"(?:node)?[\s:#_-]*n?[\s:#_-]*0*(\d+)(?:\.0*)?", re.I)
+_NODE = re.compile(r"(?:(?:node|n)[\s:#_-]*|#\s*)*0*(\d+)(?:\.0*)?", re.I)
 
 
 def _snake(name: str) -> str:
