@@ -14,14 +14,22 @@ from lattica.plans.registry import Registry, Tables
 query = Registry()
 queries, oracle_sql = query.queries, query.oracle_sql
 
-_FLAG = F.when(F.col("l_returnflag") == "A", "EXACT").when(F.col("l_returnflag") == "R", "BROADER").otherwise("RELATED")
-_P = F.least(F.lit(1.0), F.col("l_discount") * 8)
+
+
+def _flag():
+    return F.when(F.col("l_returnflag") == "A", "EXACT").when(F.col("l_returnflag") == "R", "BROADER").otherwise("RELATED")
+
+
+def _probability():
+    return F.least(F.lit(1.0), F.col("l_discount") * 8)
+
+
 _W = "CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'R' THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END"
 _Q = "least(1.0::DOUBLE, l_discount * 8)"
 
 
 def _evidence(t: Tables, key: str) -> DataFrame:
-    return R.noisy_or(t.lineitem, [key], R.weight(_FLAG, R.FINDING_WEIGHTS, 0.4), _P, "e")
+    return R.noisy_or(t.lineitem, [key], R.weight(_flag(), R.FINDING_WEIGHTS, 0.4), _probability(), "e")
 
 
 @query(f"SELECT l_partkey, round(1 - product(1 - {_W} * {_Q}), 6) AS evidence FROM lineitem GROUP BY 1")
@@ -32,12 +40,15 @@ def noisy_or_part(t: Tables) -> DataFrame:
 
 _S = f"S AS (SELECT l_orderkey, 1 - product(1 - {_W} * {_Q}) AS e FROM lineitem GROUP BY 1)"
 _OW = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1.0::DOUBLE WHEN '2' THEN 0.9::DOUBLE WHEN '3' THEN 0.7::DOUBLE WHEN '4' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END"
-_REL = F.element_at(F.create_map(*[F.lit(x) for x in ("1", "INDICATES", "2", "IS_SPECIFIC_FOR", "3", "SUPPORTS", "4", "ASSOCIATED_WITH")]), F.substring("o_orderpriority", 1, 1))
+
+
+def _relation():
+    return F.element_at(F.create_map(*[F.lit(x) for x in ("1", "INDICATES", "2", "IS_SPECIFIC_FOR", "3", "SUPPORTS", "4", "ASSOCIATED_WITH")]), F.substring("o_orderpriority", 1, 1))
 
 
 def _second(t: Tables) -> DataFrame:
     x = t.orders.join(_evidence(t, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return R.noisy_or(x, ["o_custkey"], R.weight(_REL, R.EVIDENCE_WEIGHTS, 0.5), F.col("e") * 0.1, "e2")
+    return R.noisy_or(x, ["o_custkey"], R.weight(_relation(), R.EVIDENCE_WEIGHTS, 0.5), F.col("e") * 0.1, "e2")
 
 
 @query(f"WITH {_S} SELECT o_custkey, round(1 - product(1 - {_OW} * e * 0.1::DOUBLE), 6) AS evidence FROM orders JOIN S ON o_orderkey = l_orderkey GROUP BY 1")
@@ -61,7 +72,7 @@ def prior_evidence_fusion(t: Tables) -> DataFrame:
 def project_back(t: Tables) -> DataFrame:
     """Labels without neighbours keep the model's probability."""
     x = t.lineitem.filter("l_returnflag = 'A' and l_quantity > 45")
-    e = R.noisy_or(x, ["l_partkey"], R.weight(_FLAG, R.FINDING_WEIGHTS, 0.4), _P, "e")
+    e = R.noisy_or(x, ["l_partkey"], R.weight(_flag(), R.FINDING_WEIGHTS, 0.4), _probability(), "e")
     return t.part.join(e, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.round(F.coalesce("e", F.col("p_size") / F.lit(50.0)), 6).alias("p"))
 
 
