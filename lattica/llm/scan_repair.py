@@ -64,11 +64,12 @@ def _page_number(line: str) -> tuple[int, str] | None:
     if not m or bool(m[2]) != bool(m[4]):
         return None
     body = m[3]
+    style = ("page" if len(m[1] or "") == 4 else (m[1] or "").lower()) + m[2]
     d = digits(body)
     if d and d.isdigit():
-        return int(d), f"{(m[1] or '').lower()}{m[2]}"
+        return int(d), style
     r = roman(body)
-    return (r, f"{(m[1] or '').lower()}{m[2]}r") if r is not None and not m[1] else None
+    return (r, style) if r is not None and not m[1] else None
 
 
 def _running_head(line: str, title: str | None, book: str | None) -> bool:
