@@ -100,12 +100,17 @@ def unique_or_mixed(c: str) -> Column:
 
 
 def next_child_ids(ontology: DataFrame, arrivals: DataFrame, order: str) -> DataFrame:
-    """(parent_id, order, child_id): ids after each parent's largest child, three digits, by arrival."""
+    """(parent_id, order, child_id): ids after each parent's largest child, by arrival.
+
+    A parent is any entry of the ontology; without children it starts at 1.
+    Numbers have three digits at least and are kept whole beyond 999.
+    """
     top = ontology.filter(F.col("ontology_id").rlike(r"\.\d+$")).groupBy("parent_id").agg(F.max(F.regexp_extract("ontology_id", r"\.(\d+)$", 1).cast("bigint")).alias("mx"))
+    parents = ontology.select(F.col("ontology_id").alias("parent_id")).distinct().join(top, "parent_id", "left")
     r = F.row_number().over(Window.partitionBy("parent_id").orderBy(order))
-    n = (F.col("mx") + r).cast("string")
-    x = arrivals.join(top, "parent_id")
-    return x.select("parent_id", order, F.concat("parent_id", F.lit("."), F.when(F.length(n) > 3, F.substring(n, 1, 3)).otherwise(F.lpad(n, 3, "0"))).alias("child_id"))
+    n = (F.coalesce("mx", F.lit(0)) + r).cast("string")
+    x = arrivals.join(parents, "parent_id")
+    return x.select("parent_id", order, F.concat("parent_id", F.lit("."), F.when(F.length(n) > 3, n).otherwise(F.lpad(n, 3, "0"))).alias("child_id"))
 
 
 def within_budget(df: DataFrame, order: str, size: str, budget: int) -> DataFrame:

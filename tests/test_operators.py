@@ -31,6 +31,14 @@ def test_range_join(spark):
     assert sorted((r.id, r.p) for r in got.collect()) == sorted((i, p) for (p,) in points for i, a, b in ranges if a <= p <= b)
 
 
+def test_next_child_ids(spark):
+    ontology = spark.createDataFrame([("A", None), ("A.002", "A"), ("A.007", "A"), ("B", None), ("A.007.998", "A.007")], "ontology_id string, parent_id string")
+    arrivals = spark.createDataFrame([("B", 1), ("A", 2), ("A", 3), ("A.007", 4), ("A.007", 5), ("A.007", 6), ("", 7), (None, 8), ("Z", 9), *[("A.002", k) for k in range(10, 1110)]], "parent_id string, ext int")
+    got = {r.ext: r.child_id for r in relational.next_child_ids(ontology, arrivals, "ext").collect()}
+    assert [got.pop(k, None) for k in range(1, 10)] == ["B.001", "A.008", "A.009", "A.007.999", "A.007.1000", "A.007.1001", None, None, None]
+    assert got == {k: f"A.002.{k - 9:03d}" for k in range(10, 1110)}
+
+
 def test_strict_alignment_fails_on_other_ids(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,)], "k int")
     with pytest.raises(ValueError, match="ids differ"):
