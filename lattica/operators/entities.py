@@ -26,8 +26,8 @@ def cascade(mentions: DataFrame, cache: DataFrame, names: DataFrame, fuzzy: floa
     """(mention_id, text, ontology_id, method): cache, then exact name, then the best fuzzy name, then new.
 
     mentions: mention_id, text; cache: key, ontology_id; names: name, ontology_id.
-    Each distinct text is settled once. Fuzzy candidates share a first
-    character and a length class, so no text meets all names. The first
+    Each distinct text is settled once. Fuzzy candidates are all names of the
+    length classes that can reach the ratio, so none at it is missed. The first
     mention of a text keeps the method that settled it, later ones are
     cache hits. Null and blank texts are new.
     """
@@ -38,10 +38,9 @@ def cascade(mentions: DataFrame, cache: DataFrame, names: DataFrame, fuzzy: floa
     settled = texts.join(known, "k", "left").join(exact, "k", "left")
     # of two texts with a ratio of r the lengths differ by a factor of r / (200 - r) at most
     low, high = fuzzy / (200 - fuzzy), (200 - fuzzy) / fuzzy
-    block = lambda c: F.substring(c, 1, 1)
-    open_ = settled.filter("c_id is null and e_id is null").select("k", block("k").alias("b"), F.explode(F.sequence(F.floor(F.length("k") * low / 8), F.floor(F.length("k") * high / 8))).alias("g"))
-    pool = exact.select(F.col("k").alias("n"), F.col("e_id").alias("f_id"), block("k").alias("b"), F.floor(F.length("k") / 8).alias("g"))
-    scored = open_.join(pool, ["b", "g"]).withColumn("s", fuzzy_ratio_udf("k", "n")).filter(F.col("s") >= fuzzy)
+    open_ = settled.filter("c_id is null and e_id is null").select("k", F.explode(F.sequence(F.floor(F.length("k") * low / 8), F.floor(F.length("k") * high / 8))).alias("g"))
+    pool = exact.select(F.col("k").alias("n"), F.col("e_id").alias("f_id"), F.floor(F.length("k") / 8).alias("g"))
+    scored = open_.join(pool, "g").withColumn("s", fuzzy_ratio_udf("k", "n")).filter(F.col("s") >= fuzzy)
     best = scored.groupBy("k").agg(F.max_by("f_id", F.struct("s", F.reverse("n"))).alias("f_id"))
     done = settled.join(best, "k", "left").select("k", F.coalesce("c_id", "e_id", "f_id").alias("ontology_id"), F.when(F.col("c_id").isNotNull(), "cache_hit").when(F.col("e_id").isNotNull(), "exact").when(F.col("f_id").isNotNull(), "fuzzy").otherwise("new_entity").alias("settled"))
     firsts = mentions.groupBy(key.alias("k")).agg(F.min("mention_id").alias("first_id"))

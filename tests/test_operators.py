@@ -126,6 +126,15 @@ def test_cascade(spark):
     assert got == {1: ("D1", "exact"), 2: ("D1", "cache_hit"), 3: ("D1", "fuzzy"), 4: (None, "new_entity"), 5: ("C1", "cache_hit"), 6: (None, "new_entity"), 7: (None, "new_entity")}
 
 
+def test_cascade_finds_names_with_another_first_letter(spark):
+    texts = ["inferior myocardial infarction", "left ventricular hypertrophy", "aortic stenosis", "trial flutter"]
+    names = ["old inferior myocardial infarction", "ventricular hypertrophy", "mild aortic stenosis", "atrial flutter", "tricuspid stenosis"]
+    mentions = spark.createDataFrame(list(enumerate(texts)), "mention_id int, text string")
+    cache = spark.createDataFrame([], "key string, ontology_id string")
+    got = {r.text: (r.ontology_id, r.method) for r in entities.cascade(mentions, cache, spark.createDataFrame([(n, n) for n in names], "name string, ontology_id string")).collect()}
+    assert got == {t: (n, "fuzzy") for t, n in zip(texts, names, strict=False)}
+
+
 def test_injected_model(spark):
     df = spark.createDataFrame([("a",), ("b",)], "t string")
     assert [r.o for r in entities.call_model(df, "t", "o", lambda xs: [x * 2 for x in xs]).orderBy("t").collect()] == ["aa", "bb"]
