@@ -165,8 +165,8 @@ class Editor:
     def _score(self, word, i, span, put) -> float:
         return sum(self.weights.get(f, 0.0) for f in self._features(word, i, span, put))
 
-    def proposals(self, word: str, most: int = 12) -> list[tuple[float, int, str, str]]:
-        """Operations on a word by score above keeping."""
+    def proposals(self, word: str, most: int | None = None) -> list[tuple[float, int, str, str]]:
+        """Operations on a word by score above keeping, all unless `most` is given."""
         out = []
         for i in range(len(word)):
             for n in (1, 2):
@@ -175,8 +175,10 @@ class Editor:
                     out += [(self._score(word, i, span, p), i, span, p) for p in self.ops.get(span, ())]
         return sorted(out, reverse=True)[:most]
 
-    def candidates(self, word: str) -> dict[str, float]:
-        """Words after one or two operations, with their score."""
+    def candidates(self, word: str, longest: int | None = None) -> dict[str, float]:
+        """Words after one or two operations of any rank, with their score; none if two operations can't shorten the word to `longest`."""
+        if longest is not None and len(word) > longest + 4:
+            return {}
         ops = self.proposals(word)
         out: dict[str, float] = {}
         apply = lambda w, i, span, put: w[:i] + put + w[i + len(span) :]
@@ -304,7 +306,8 @@ def findings(chapters: DataFrame) -> DataFrame:
     common = right or [(r[0], r[1]) for r in words.select("token", worth.alias("n")).filter(F.col("n") >= RATIO).orderBy(F.desc("n"), "token").limit(MAX_TRAINING_WORDS).collect()]
     rare = [(r[0], r[1]) for r in words.filter("nd = 0 and ns > 0").select("token", "ns").orderBy(F.xxhash64("token")).limit(MAX_TRAINING_WORDS).collect()]
     editor = Editor().train(training_pairs(rare, common[:MAX_TRAINING_WORDS]))
-    shared = spark.sparkContext.broadcast((editor, frozenset(w for w, _ in right)))
+    longest = words.filter((F.col("nd") >= 2) | (worth >= RATIO)).agg(F.max(F.length("token"))).first()[0] or 0
+    shared = spark.sparkContext.broadcast((editor, frozenset(w for w, _ in right), longest))
 
     def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trusted = shared.value[1]
@@ -323,7 +326,7 @@ def findings(chapters: DataFrame) -> DataFrame:
     spots = staged(scans.mapInArrow(spot, "id string, kind string, line_no int, token string, alt string"), "spots")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value[0]
+        own, _, most = shared.value
         for batch in batches:
             rows = []
             for t in batch.column(0).to_pylist():
@@ -331,7 +334,7 @@ def findings(chapters: DataFrame) -> DataFrame:
                 if d is not None:
                     rows.append((t, d, 1e6 if d != t else 2e6))
                     continue
-                rows += [(t, c, s) for c, s in own.candidates(t).items()]
+                rows += [(t, c, s) for c, s in own.candidates(t, most).items()]
             cols = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["token", "cand", "s"])
 

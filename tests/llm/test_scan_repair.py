@@ -41,6 +41,15 @@ def test_editor_learns_confusions():
     assert single_edit("recordmg", "recording") == (6, "m", "in")
 
 
+def test_operations_of_any_rank_are_tried():
+    e = Editor()
+    e.ops = {"1": [chr(c) for c in range(ord("a"), ord("z") + 1)]}
+    e.weights = {("1", chr(c)): float(c) for c in range(ord("a"), ord("z") + 1)}
+    got = e.candidates("1e1ds")
+    assert {"1eads", "aebds", "leads"} <= set(got) and len(got) == 26 + 26 + 26 * 26
+    assert e.candidates("1" * 60, 55) == {} and "a" + "1" * 59 in e.candidates("1" * 60, 56)
+
+
 def corpus(rng):
     sentence = lambda: " ".join(rng.choice(WORDS) for _ in range(8)).capitalize() + "."
     digital = [(f"d{k}", "T", 1, 2, None, " ".join(sentence() for _ in range(40)), "markdown") for k in range(30)]
