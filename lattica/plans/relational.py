@@ -207,13 +207,13 @@ def section_stats(t: Tables) -> DataFrame:
 
 @query("""SELECT chapter_id, CASE WHEN length(x) > 200 THEN substr(x, 1, 200) || '...' ELSE x END AS joined FROM (SELECT chapter_id, array_to_string(list(evidence_text ORDER BY ext_id)[1:3], ' | ') AS x FROM chapter_extraction_results WHERE evidence_text IS NOT NULL GROUP BY 1)""")
 def evidence_join(t: Tables) -> DataFrame:
-    """The first three texts of a group, joined and cut. Rows are ranked before collecting, so no list grows beyond three."""
+    """The first three texts of a group, joined and cut beyond 5,000 characters. Rows are ranked before collecting, so no list grows beyond three."""
     w = Window.partitionBy("chapter_id").orderBy("ext_id")
     first = t.chapter_extraction_results.filter("evidence_text is not null").withColumn("r", F.row_number().over(w)).filter("r <= 3")
     x = first.groupBy("chapter_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "evidence_text"))), lambda s: s["evidence_text"]), " | ").alias("x"))
     from lattica.functions.text import preview
 
-    return x.select("chapter_id", preview(F.col("x")).alias("joined"))
+    return x.select("chapter_id", preview(F.col("x"), 5000).alias("joined"))
 
 
 @query("""SELECT vec_id, label, r FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings) WHERE r <= 3""")

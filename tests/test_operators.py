@@ -39,6 +39,17 @@ def test_next_child_ids(spark):
     assert got == {k: f"A.002.{k - 9:03d}" for k in range(10, 1110)}
 
 
+def test_evidence_join_keeps_5000_characters(spark):
+    from types import SimpleNamespace
+
+    from lattica.plans.relational import evidence_join
+
+    rows = [("a", k, f"{k}" * 300) for k in (1, 2, 3, 4)] + [("b", 1, "x" * 5001), ("c", 1, "x" * 5000), ("d", 1, None), ("d", 2, "y")]
+    t = SimpleNamespace(chapter_extraction_results=spark.createDataFrame(rows, "chapter_id string, ext_id int, evidence_text string"))
+    got = {r.chapter_id: r.joined for r in evidence_join(t).collect()}
+    assert got == {"a": " | ".join(c * 300 for c in "123"), "b": "x" * 5000 + "...", "c": "x" * 5000, "d": "y"}
+
+
 def test_strict_alignment_fails_on_other_ids(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,)], "k int")
     with pytest.raises(ValueError, match="ids differ"):
