@@ -55,6 +55,11 @@ def fold_fields(text: Column, labels: Sequence[str] = FIELD_LABELS) -> Column:
     return F.when(labelled, joined).otherwise(fold(text))
 
 
+def legible(text: Column) -> Column:
+    """Whether a text has a letter or digit."""
+    return F.coalesce(text, F.lit("")).rlike(r"[\p{L}\p{Nd}]")
+
+
 def record_key(name: Column, kind: Column, labels: Sequence[str] = FIELD_LABELS) -> Column:
     """One key for the unordered pair of name and type; null where either side must not count.
 
@@ -62,8 +67,7 @@ def record_key(name: Column, kind: Column, labels: Sequence[str] = FIELD_LABELS)
     one whose type column is as empty (the name may stand in either column).
     """
     a, b = fold_fields(name, labels), fold_fields(kind, labels)
-    blank = ~a.rlike(r"[\p{L}\p{Nd}]") | ~b.rlike(r"[\p{L}\p{Nd}]")
-    return F.when(~blank, F.concat(F.least(a, b), F.lit("\u0000"), F.greatest(a, b)))
+    return F.when(legible(name) & legible(kind), F.concat(F.least(a, b), F.lit("\u0000"), F.greatest(a, b)))
 
 
 def _scan(carry: dict[int, tuple[str, int]]):
@@ -129,7 +133,11 @@ def repeats(nodes: DataFrame) -> DataFrame:
 
 
 def collapse(nodes: DataFrame) -> DataFrame:
-    """One representative for each record with its exact number of copies: keep_id, copies, name, node_type, source."""
+    """One representative for each record with its exact number of copies: keep_id, copies, name, node_type, source.
+
+    A row without key repeats no other and stands for itself, so the copies add up to the rows.
+    """
     counts = runs(nodes, record_key(F.col("name"), F.col("node_type")), "node_id").groupBy("keep_id").agg(F.count("*").alias("copies"))
     own = nodes.select(F.col("node_id").cast("bigint").alias("keep_id"), "name", "node_type", "source")
-    return counts.join(own, "keep_id")
+    lone = own.filter(~(legible(F.col("name")) & legible(F.col("node_type"))))
+    return counts.join(own, "keep_id").unionByName(lone.withColumn("copies", F.lit(1).cast("bigint")))

@@ -48,6 +48,12 @@ def test_hot_key_over_many_partitions_matches_brute_force(spark):
     assert copies[first["hotname"]] == sum("hot" in n.lower() for _, _, n in rows)
 
 
+def test_collapse_keeps_rows_without_key(spark):
+    rows = [(1, "D", "a b"), (2, "D", "A-B"), (3, "D", "--"), (4, "D", "--"), (5, "D", None), (6, None, "abc"), (7, " ", "abc"), (8, None, None)]
+    got = collapse(frame(spark, rows)).collect()
+    assert sorted((r.keep_id, r.copies, r.name) for r in got) == sorted([(1, 2, "a b"), *[(k, 1, n) for k, _, n in rows[2:]]])
+
+
 def test_very_long_names(spark):
     long = "x y " * 50_000
     assert pairs(repeats(frame(spark, [(1, "D", long), (2, "D", long.upper())]))) == [(1, 2)]
