@@ -13,6 +13,17 @@ def heavy_keys(df: DataFrame, key: str, slices: int) -> DataFrame:
     return counts.join(F.broadcast(total), F.col("_n") * slices > F.col("_total")).select(key)
 
 
+#: Rows a lookup table may have to be broadcast.
+MAX_LOOKUP = 200_000
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", bound: int = MAX_LOOKUP) -> DataFrame:
+    """Equi-join with a table of unique keys: broadcast if it is counted to have at most `bound` rows, else salted, so that no key of `big` ends in one task."""
+    if small.limit(bound + 1).count() <= bound:
+        return big.join(F.broadcast(small), key, how)
+    return salted_join(big, small, key, how)
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", slices: int = 24) -> DataFrame:
     """Equi-join on `key` in which rows of heavy keys of `big` spread over `slices` salts.
 
