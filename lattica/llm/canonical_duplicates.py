@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import cut_lineage
+from lattica.session import cut_lineage, release, staged
 
 #: Labels of the fields a name may consist of, in their usual order.
 FIELD_LABELS = ("finding", "lead", "phase", "grade", "value")
@@ -105,14 +105,15 @@ def runs(df: DataFrame, key: Column, id_col: str, partitions: int | None = None)
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select(key.alias("_key"), F.col(f"`{id_col}`").cast("bigint").alias("_id")).filter("_key is not null and _id is not null")
+    # keys are made once, as the sampling of the ranges reads them too
+    keyed = staged(df.select(key.alias("_key"), F.col(f"`{id_col}`").cast("bigint").alias("_id")).filter("_key is not null and _id is not null"), "keys")
     ordered = cut_lineage(keyed.repartitionByRange(n, "_key", "_id").sortWithinPartitions("_key", "_id"))
+    release(keyed)
+    # one row a partition: its first key, its last key and the smallest id of that key, combined before the shuffle
     ends = (
-        ordered.groupBy(F.spark_partition_id().alias("p"), F.col("_key"))
-        .agg(F.min("_id").alias("start"))
-        .groupBy("p")
-        .agg(F.min("_key").alias("head"), F.max(F.struct("_key", "start")).alias("tail"))
-        .orderBy("p")
+        ordered.groupBy(F.spark_partition_id().alias("p"))
+        .agg(F.min("_key").alias("head"), F.max(F.struct("_key", (-F.col("_id")).alias("start"))).alias("tail"))
+        .select("p", "head", F.col("tail._key").alias("tail"), (-F.col("tail.start")).alias("start"))
         .collect()
     )
     carry: dict[int, tuple[str, int]] = {}
@@ -122,7 +123,7 @@ def runs(df: DataFrame, key: Column, id_col: str, partitions: int | None = None)
         if last is not None:
             carry[p] = last
         if p in seen:
-            head, (key_, start) = seen[p]["head"], seen[p]["tail"]
+            _, head, key_, start = seen[p]
             last = last if last is not None and last[0] == key_ == head else (key_, start)
     return ordered.mapInArrow(_scan(carry), "keep_id bigint, node_id bigint")
 
