@@ -2,7 +2,8 @@
 
 One depth-first visit of each record emits rows tagged with their table,
 carrying primary key, parent key and payload; the rows are written once,
-partitioned by tag, and each tag is read back under its own schema.
+partitioned by tag, and each tag is read back under its own schema. Typed
+columns are visited by one JVM expression, JSON texts by a Python visitor.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.session import scratch_path
 
-TAGGED = "tag string, pk string, parent string, payload string"
-#: Payload schema of each tag.
+#: Payload columns of each tag; a tagged row has those of all tags, null where its tag lacks them.
 SCHEMAS = {
     "item": "item_id bigint, scp_code string, description string, statement_category string, label string, top_k int, generated_at string, notes string",
     "mapping": "item_id bigint, scp_code string, ord int, node_id string, ontology_id string, edge_type string, relation_type string, reason string, rank int, similarity double, node_text string",
@@ -26,6 +26,8 @@ SCHEMAS = {
     "property": "item_id bigint, kind string, ord int, key string, value string",
     "reject": "item_id bigint, reason string",
 }
+_PAYLOAD = {name: kind for part in SCHEMAS.values() for name, kind in (c.split() for c in part.split(", "))}
+TAGGED = ", ".join(["tag string", "pk string", "parent string", *(f"{n} {t}" for n, t in _PAYLOAD.items())])
 #: Spellings that stand for a missing value.
 MISSING = frozenset(("", "nan", "none", "null", "n/a", "na"))
 
@@ -141,14 +143,13 @@ def _number(value, kind):
         return None
 
 
-def visit(item_id: int, item: dict) -> Iterator[tuple[str, str, str | None, dict]]:
+def visit(item_id: int, item: dict, pk: str) -> Iterator[tuple[str, str, str | None, dict]]:
     """Depth-first: (tag, pk, parent, payload) of an item, its mappings and candidates, and their properties."""
     top = {_snake(k): v for k, v in item.items()}
     disease = _load(top.get("disease")) if isinstance(top.get("disease"), str) else top.get("disease")
     disease = {_snake(k): v for k, v in disease.items()} if isinstance(disease, dict) else {}
     get = lambda k: _text(disease.get(k)) or _text(top.get(k))
     scp = get("scp_code")
-    pk = str(item_id)
     yield "item", pk, None, {
         "item_id": item_id, "scp_code": scp, **{k: get(k) for k in ("description", "statement_category", "label")},
         "top_k": _number(top.get("top_k"), int), "generated_at": _text(top.get("generated_at")), "notes": _text(top.get("notes")),
@@ -166,49 +167,89 @@ def visit(item_id: int, item: dict) -> Iterator[tuple[str, str, str | None, dict
                 yield "property", f"{key}/{k}", key, {"item_id": item_id, "kind": kind, "ord": n, "key": str(k), "value": None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)}
 
 
-def _plain(value):
-    """A column's value as JSON types; maps arrive from Arrow as lists of pairs."""
-    if isinstance(value, list) and value and all(isinstance(x, tuple) for x in value):
-        return dict(value)
-    if isinstance(value, list):
-        return [_plain(x) for x in value]
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    return value
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+_TAGGED_ARROW = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in TAGGED.split(", "))])
+_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The types of the columns, for tables that lack one.
+_ENTRY = "edge_type string, relation_type string, reason string, rank int, node_id string, similarity double, node_text string, text string, node_properties map<string,string>, properties map<string,string>"
+FIELDS = {"disease": "struct<scp_code:string,description:string,statement_category:string,label:string>", "top_k": "int", "generated_at": "string", "mappings": f"array<struct<{_ENTRY}>>", "candidates": f"array<struct<{_ENTRY}>>", "notes": "string"}
+
+
+def _clean(x: Column) -> Column:
+    """_text() on the JVM side."""
+    t = F.regexp_replace(x.cast("string"), f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.when(t.isNull() | F.lower(t).isin(*MISSING), "").otherwise(t)
+
+
+def _digits(x: Column) -> Column:
+    """node_digits() on the JVM side."""
+    return F.coalesce(F.regexp_extract(x.cast("string"), rf"(?iU)^{_SPACE}*(?:(?:node|n)[\s:#_-]*|#\s*)*0*(\d+)(?:\.0*)?{_SPACE}*$", 1), F.lit(""))
+
+
+def _visited(items: DataFrame) -> DataFrame:
+    """visit() of typed columns as one expression: each item becomes the array of its tagged rows, depth first, and is exploded once."""
+    kinds = {**FIELDS, "item_id": "bigint"}
+    own = items.select(*[F.col(c) if c in items.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+    inner = lambda c: {f.name for f in own.schema[c].dataType.elementType.fields} if hasattr(own.schema[c].dataType, "elementType") and hasattr(own.schema[c].dataType.elementType, "fields") else set()
+    diseased = {f.name for f in own.schema["disease"].dataType.fields}
+    of = lambda k: _clean(F.col("disease")[k]) if k in diseased else F.lit("")
+    own = own.withColumn("scp_code", of("scp_code"))
+    pk = F.col("item_id").cast("string")
+
+    def row(tag: str, own_key: Column, parent_key: Column, **payload: Column) -> Column:
+        return F.struct(F.lit(tag).alias("tag"), own_key.alias("pk"), parent_key.cast("string").alias("parent"), *[payload.get(n, F.lit(None)).cast(t).alias(n) for n, t in _PAYLOAD.items()])
+
+    nothing = F.array().cast(f"array<struct<{', '.join(c.replace(' ', ':') for c in TAGGED.split(', '))}>>")
 
+    def entries(kind: str, field: str, names: tuple[str, ...]) -> Column:
+        has = inner(field)
 
-FIELDS = ("item_id", "disease", "top_k", "generated_at", "mappings", "candidates", "notes", "raw")
+        def rows(e: Column, n: Column) -> Column:
+            props = e["node_properties"] if "node_properties" in has else e["properties"] if "properties" in has else F.lit(None).cast("map<string,string>")
+            if {"node_properties", "properties"} <= has:
+                props = F.coalesce(e["node_properties"], e["properties"])
+            key = F.concat_ws("/", pk, F.lit(kind), n.cast("string"))
+            get = lambda k: _clean(e[k]) if k in has else F.lit("")
+            num = lambda k: e[k] if k in has else F.lit(None)
+            oid = F.when(F.map_contains_key(props, "ontology_id"), props["ontology_id"]).otherwise(props["ontologyId"])
+            top = row(kind, key, pk, item_id=F.col("item_id"), scp_code=F.col("scp_code"), ord=n, node_id=_digits(e["node_id"]) if "node_id" in has else F.lit(""), ontology_id=_clean(oid), rank=num("rank"), similarity=num("similarity"), **{k: get(k) for k in names})
+            below = F.transform(F.coalesce(F.map_entries(props), F.map_entries(F.create_map().cast("map<string,string>"))), lambda p: row("property", F.concat_ws("/", key, p["key"]), key, item_id=F.col("item_id"), kind=F.lit(kind), ord=n, key=p["key"], value=p["value"]))
+            return F.when(e.isNotNull(), F.concat(F.array(top), below)).otherwise(nothing)
+
+        return F.coalesce(F.flatten(F.transform(field, rows)), nothing)
+
+    top = row("item", pk, F.lit(None), item_id=F.col("item_id"), scp_code=F.col("scp_code"), description=of("description"), statement_category=of("statement_category"), label=of("label"), top_k=F.col("top_k"), generated_at=_clean(F.col("generated_at")), notes=_clean(F.col("notes")))
+    every = F.concat(F.array(top), entries("mapping", "mappings", ("edge_type", "relation_type", "reason", "node_text")), entries("candidate", "candidates", ("text",)))
+    return own.select(F.inline(every))
+
+
+def _visit_raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[dict] = []
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = parse_raw(raw)
+            if found is None:
+                out.append({"tag": "reject", "pk": str(i), "item_id": i, "reason": "raw can't be read as JSON"})
+            for k, item in enumerate(found or ()):
+                out += [{"tag": t, "pk": key, "parent": up, **d} for t, key, up, d in visit(i, item, f"{i}.{k}" if k else str(i))]
+        yield pa.RecordBatch.from_pylist(out, schema=_TAGGED_ARROW)
 
 
 def flatten(items: DataFrame) -> DataFrame:
-    """Tagged rows (tag, pk, parent, payload) of all items, in one pass without a shuffle.
+    """Tagged rows (tag, pk, parent, payload columns) of all items, in one pass without a shuffle.
 
     A non-null, non-blank `raw` is read in place of the columns; if its JSON
-    breaks off the item gives one `reject` row. Null arrays and null entries
-    give no rows, but null entries count in positions. Missing columns count
-    as null, further columns are ignored.
+    breaks off the item gives one `reject` row, and of several items in one
+    `raw` the later ones have keys of their own (7.1, 7.2). Null arrays and
+    null entries give no rows, but null entries count in positions. Missing
+    columns count as null, further columns are ignored. Typed columns are
+    visited on the JVM side, only `raw` in Python.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                raw = row.pop("raw", None)
-                i = row["item_id"]
-                if raw is not None and raw.strip():
-                    found = parse_raw(raw)
-                    if found is None:
-                        out.append(("reject", str(i), None, json.dumps({"item_id": i, "reason": "raw can't be read as JSON"})))
-                        continue
-                else:
-                    found = [_plain(row)]
-                for item in found:
-                    out += [(t, k, p, json.dumps(d, ensure_ascii=False)) for t, k, p, d in visit(i, item)]
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["tag", "pk", "parent", "payload"])
-
-    own = items.select(*[F.col(c) for c in FIELDS if c in items.columns])
-    return own.mapInArrow(run, TAGGED)
+    if "raw" not in items.columns:
+        return _visited(items)
+    written = F.coalesce(F.regexp_replace("raw", f"{_SPACE}+", ""), F.lit("")) != ""
+    read = items.filter(written).select(F.col("item_id").cast("bigint"), F.col("raw").cast("string"))
+    return _visited(items.filter(~written)).unionByName(read.mapInArrow(_visit_raw, TAGGED))
 
 
 def write_tables(tagged: DataFrame, path: str) -> None:
@@ -218,16 +259,19 @@ def write_tables(tagged: DataFrame, path: str) -> None:
 
 def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """A tag's rows under its schema, with pk and parent; empty if the tag has no rows."""
-    rows = spark.read.schema("pk string, parent string, payload string, tag string").parquet(path).filter(F.col("tag") == tag)
-    return rows.select("pk", "parent", F.from_json("payload", SCHEMAS[tag]).alias("d")).select("pk", "parent", "d.*")
+    rows = spark.read.schema(f"pk string, parent string, {SCHEMAS[tag]}, tag string").parquet(path).filter(F.col("tag") == tag)
+    return rows.drop("tag")
+
+
+def related_tables(items: DataFrame, *tags: str) -> list[DataFrame]:
+    """The flat tables of the given tags, each with pk and parent, after one pass over the items."""
+    path = scratch_path(items.sparkSession, "flat")
+    write_tables(flatten(items), path)
+    return [read_table(items.sparkSession, path, t) for t in tags]
 
 
 def linked_entries(items: DataFrame) -> DataFrame:
     """(item_id, scp_code, kind, ord, node_id, ontology_id) of each mapping and candidate."""
-    spark = items.sparkSession
-    path = scratch_path(spark, "flat")
-    write_tables(flatten(items), path)
-    parts = [
-        read_table(spark, path, kind).select("item_id", "scp_code", F.lit(kind).alias("kind"), "ord", "node_id", "ontology_id") for kind in ("mapping", "candidate")
-    ]
+    kinds = ("mapping", "candidate")
+    parts = [x.select("item_id", "scp_code", F.lit(k).alias("kind"), "ord", "node_id", "ontology_id") for k, x in zip(kinds, related_tables(items, *kinds), strict=True)]
     return parts[0].unionByName(parts[1])
