@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import TOKENIZERS, count_tokens
-from lattica.session import cut_lineage
+from lattica.session import cut_lineage, staged
 
 CAPACITY = 2048
 
@@ -128,5 +128,5 @@ def fill(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", siz
 
 
 def fill_documents(documents: DataFrame, capacity: int = CAPACITY, folder: str = TOKENIZERS) -> DataFrame:
-    """fill() of documents sized in tokens of the public vocabulary."""
-    return fill(count_tokens(documents, folder=folder), capacity)
+    """fill() of documents sized in tokens of the public vocabulary; each text is encoded once, as the sampling of the ranges reads the sizes too."""
+    return fill(staged(count_tokens(documents, folder=folder), "sizes"), capacity)
