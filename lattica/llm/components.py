@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import staged
+from lattica.session import release, staged
 
 #: Verdicts that say a label and a node are the same.
 SAME = ("EXACT", "MAPS_TO")
@@ -18,10 +18,13 @@ SAME = ("EXACT", "MAPS_TO")
 
 def _jump(pointers: DataFrame) -> DataFrame:
     """Pointer jumping: (v, p) with p replaced by the end of its chain; each pass halves the chains."""
+    earlier = None
     while True:
         ahead = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
         jumped = staged(pointers.join(ahead, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
-        pointers = jumped.select("v", "p")
+        if earlier is not None:
+            release(earlier)
+        earlier, pointers = jumped, jumped.select("v", "p")
         if jumped.filter("moved").isEmpty():
             return pointers
 
@@ -53,7 +56,8 @@ def connected_groups(edges: DataFrame, vertices: DataFrame | None = None) -> Dat
         forest = step if forest is None else forest.unionByName(step)
         to = lambda c: step.select(F.col("v").alias(c), F.col("p").alias("r" + c))
         moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left")
-        links = staged(pairs(moved.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+        earlier, links = links, staged(pairs(moved.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+        release(earlier)
     if forest is None:
         return nodes.select(F.col("node_id").alias("group_id"), "node_id")
     ends = _jump(forest).select(F.col("v").alias("node_id"), F.col("p").alias("group_id"))
