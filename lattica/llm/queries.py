@@ -53,6 +53,12 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "chapter"))
 
 
+def p6_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.tree_split import sections
+
+    return sections(table(spark, sf_dir, "chapter"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.bpe import encode
 
@@ -78,7 +84,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_collapsed, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_shares)
+    found = (p1_found, p1_collapsed, p3_found, p4_found, p5_found, p6_found, p6_pieces, p6_sections, p7_ids, p8_containers, p9_found, p9_shares)
     return {f.__name__: f for f in found}
 
 

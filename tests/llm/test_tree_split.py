@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lattica.llm.tree_split import Node, boundaries, pack, paragraph_tree, pieces, sentence_ends
+from lattica.llm.tree_split import Node, boundaries, pack, paragraph_tree, pieces, sections, sentence_ends
 
 
 @pytest.mark.parametrize(
@@ -44,3 +44,36 @@ def test_rows(spark):
     assert sorted(r.cut_at for r in got if r.id == "a") == [23 + 24 * k for k in range(60)]
     assert max(len(r.text) for r in pieces(df).collect()) <= 1200
     assert boundaries(df.filter("false")).collect() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["# Head one\n", "## Sub\n", "<h2>Page part</h2>\n", "A sentence is here. ", "It goes on; and on, with more. ", "- item of a list\n", "\n\n", "漢字。", "word "]), max_size=60), st.integers(25, 120), st.integers(0, 20))
+def test_structure_is_covered(parts, limit, overlap):
+    text = "".join(parts)
+    got = pack(text, Node("root", 0, len(text)), limit, overlap)
+    assert all(e - s <= limit and 0 <= f - s <= overlap for s, e, f in got)
+    assert "".join("".join(text[f:e].split()) for _, e, f in got) == "".join(text.split())
+
+
+def test_headings_stay_with_their_bodies():
+    body = "One sentence of the body ends here. " * 9
+    text = "".join(f"# Part {c}\n\n{body}\n\n## Detail\n\n{body}\n\n" for c in "ABCD")
+    for limit in (60, 150, 400, 900):
+        got = [text[s:e] for s, e, _ in pack(text, Node("root", 0, len(text)), limit, 30)]
+        assert not any(p.rstrip().splitlines()[-1].startswith("#") for p in got), limit
+    # whole sections are merged only with their siblings
+    small = "# A\n\nx y.\n\n# B\n\nz.\n\n# C\n\n" + "Long body here. " * 30
+    got = [small[f:e] for _, e, f in pack(small, Node("root", 0, len(small)), 200, 0)]
+    assert got[0] == "# A\n\nx y.\n\n# B\n\nz." and got[1].startswith("# C\n\nLong")
+
+
+def test_lists_are_cut_at_their_lines():
+    text = "\n".join(f"- entry {k}, with a comma and no mark" for k in range(60))
+    assert all(text[s:e].startswith("- entry") for s, e, _ in pack(text, paragraph_tree(text), 200, 0))
+
+
+def test_whole_chapters(spark):
+    rows = [("a", "# T\n\n" + "One sentence ends here. " * 100, "markdown"), ("b", None, "html"), ("c", " \n", None), ("d", "Short.", "html"), ("e", "x " * 40_000, "html")]
+    got = sections(spark.createDataFrame(rows, "id string, text string, source_format string")).collect()
+    assert {r.id for r in got} == {"a", "d", "e"} and max(len(r.text) for r in got) <= 1200
+    assert [r.text for r in got if r.id == "d"] == ["Short."]
