@@ -35,6 +35,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(table(spark, sf_dir, "chapter"))
 
 
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.scan_repair import repaired
+
+    return repaired(table(spark, sf_dir, "chapter"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.components import verdict_groups
 
@@ -84,7 +90,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_collapsed, p3_found, p4_found, p5_found, p6_found, p6_pieces, p6_sections, p7_ids, p8_containers, p9_found, p9_shares)
+    found = (p1_found, p1_collapsed, p3_found, p4_found, p4_text, p5_found, p6_found, p6_pieces, p6_sections, p7_ids, p8_containers, p9_found, p9_shares)
     return {f.__name__: f for f in found}
 
 

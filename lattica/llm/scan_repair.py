@@ -1,15 +1,13 @@
 """Problem 4: noise in text from scanned pages.
 
-Page furniture is recognised by its place and by the numbering that
-start_page gives; words broken over line ends are joined; misread words are
-repaired by an averaged-perceptron editor that proposes keep, replace, delete
-and insert operations, checked against the words of the whole corpus.
+Page furniture is recognised by page-position features (page_furniture);
+words broken over line ends are joined; misread words are repaired. An
+averaged-perceptron editor scores keep, replace, delete, insert and line-join
+operations, and the words of the whole corpus are the evidence beside it.
 """
 
 from __future__ import annotations
 
-import difflib
-import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -19,141 +17,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import staged
+from lattica.llm.page_furniture import MAX_CHAPTERS, Furniture, digits, roman  # noqa: F401
+from lattica.operators.skew import lookup_join
+from lattica.session import release, staged
 
-#: Bounds of what reaches the driver and, from there, the workers: words that train the editor, and words known to be right.
-MAX_TRAINING_WORDS, MAX_TRUSTED = 20_000, 50_000
+#: Words that train the editor at most, of each kind; counts and checks cover all words.
+MAX_TRAINING_WORDS = 20_000
+#: Right words, the most frequent ones, that teach when to keep a word and how to join one.
+MAX_RIGHT_WORDS = 4_000
 #: How much more frequent the right word must be where neither stands in digital text.
 RATIO = 20
 
 _BREAKS = "-‐‑­¬"
-_DIGIT_LIKE = {"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "|": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "b": "6", "B": "8", "g": "9", "q": "9", "A": "4", "G": "6", "T": "7"}
-_ROMAN = re.compile(r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _WORD = re.compile(r"[^\W_](?:[^\s]*[^\W_])?")
+#: The same on the JVM side.
+_JVM_WORD = r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"
 
 
-def digits(text: str) -> str | None:
-    """A number with its misread digits put right; None if the text is no number."""
-    out = "".join(_DIGIT_LIKE.get(c, c) for c in text)
-    return out if re.fullmatch(r"\d+(?:[.,/:-]\d+)*", out) and any(c.isdigit() for c in text) else None
+def furniture(lines: list[str], title: str | None, book: str | None, first: int | None, last: int | None, model: Furniture | None = None) -> set[int]:
+    """Numbers of the lines that are running heads or page numbers."""
+    return (model or Furniture().train([])).lines_of(lines, title, book, first, last)
 
 
-def roman(text: str) -> int | None:
-    t = text.lower().replace("1", "i").replace("|", "i")
-    for form in {t, text.lower().replace("1", "l")}:
-        if form and _ROMAN.fullmatch(form):
-            values = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}[c] for c in form]
-            return sum(-v if k + 1 < len(values) and values[k + 1] > v else v for k, v in enumerate(values))
-    return None
-
-
-def _alike(a: str, b: str) -> bool:
-    a, b = (re.sub(r"[^a-z0-9]", "", x.lower()) for x in (a, b))
-    return bool(a and b) and (a == b or (len(b) >= 6 and abs(len(a) - len(b)) <= 3 and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.82))
-
-
-_FRAME = re.compile(r"^(p[a4][g9q6][e3c]|p\.|pp\.|seite)?\s*([\[(—–-]*)\s*([0-9A-Za-z|]{1,7})\s*([\])—–-]*)\s*$", re.I)
-
-
-_DATA = re.compile(r"^\s*[-•]?\s*\d+(?:\.\d+)?\s*(?:bpm|ms|mm|mV|%)?\s*$")
-
-
-def _page_number(line: str) -> tuple[int, str] | None:
-    """(number, style) of a line that is nothing but a page number."""
-    m = _FRAME.match(line.strip())
-    if not m or bool(m[2]) != bool(m[4]):
-        return None
-    body = m[3]
-    style = ("page" if len(m[1] or "") == 4 else (m[1] or "").lower()) + m[2]
-    d = digits(body)
-    if d and d.isdigit():
-        return int(d), style
-    r = roman(body)
-    return (r, style) if r is not None and not m[1] else None
-
-
-def _running_head(line: str, title: str | None, book: str | None) -> bool:
-    """Whether a line consists of title, book, chapter number and page number alone, and holds one of the first two."""
-    t = line.strip("\x0c \t\r")
-    parts = [p for p in re.split(r"\s*\|\s*|\s{2,}|\t", t) if p]
-    hit = False
-    for p in parts:
-        bare = re.sub(r"^(?:chapter|section|part)\s+\S{1,5}\s*|^\S{0,3}\d\S{0,3}\s+(?=\D)|\s+\S{0,2}\d\S{0,2}$", "", p, flags=re.I).strip() if not (_alike(p, title or "") or _alike(p, book or "")) else p
-        if (title and (_alike(bare, title) or _alike(p, title))) or (book and (_alike(bare, book) or _alike(p, book))):
-            hit = True
-        elif bare and not (digits(p) or roman(p) or re.fullmatch(r"(?:chapter|section|part)\s*\S{0,5}", p, re.I)):
-            return False
-    return hit
-
-
-def furniture(lines: list[str], title: str | None, book: str | None, first: int | None, last: int | None) -> set[int]:
-    """Numbers of the lines that are running heads or page numbers.
-
-    A page number continues the chapter's numbering from start_page on: of the
-    bare numbers within its pages the longest rising chain in one style counts,
-    numbers at page edges first and such among other figures last. The chapter's heading
-    (the first line with text) is never furniture.
-    """
-    head = next((k for k, x in enumerate(lines) if x.strip()), None)
-    out = {k for k, x in enumerate(lines) if k != head and x.strip() and _running_head(x, title, book)}
-    if first is None:
-        return out
-    top = last if last is not None and last >= first else first + 2000
-    found = [(k, *n) for k, x in enumerate(lines) if k != head and k not in out and len(x) < 16 and (n := _page_number(x)) and first <= n[0] <= top]
-    best: tuple[float, list[int]] = (0.0, [])
-    for style in {s for *_, s in found}:
-        chains: list[tuple[float, list[int], int]] = []
-        for k, n, s in found:
-            if s != style:
-                continue
-            near = [lines[j] for j in (k - 1, k + 1) if 0 <= j < len(lines) and j not in out]
-            edge = len(near) < 2 or any(x.startswith("\x0c") for x in [*near, lines[k]])
-            weight = 2.0 if edge else 0.4 if any(_DATA.match(x) for x in near) else 1.0
-            before = max((c for c in chains if c[2] < n), key=lambda c: c[0] - 0.3 * (n - c[2] - 1), default=(0.5, [], first - 1))
-            chains.append((before[0] + weight - 0.3 * (n - before[2] - 1), [*before[1], k], n))
-        top_chain = max(chains, key=lambda c: c[0])
-        best = max(best, (top_chain[0] + (0.5 if style else 0), top_chain[1]))
-    return out | set(best[1])
-
-
-def _core(token: str) -> str:
-    m = _WORD.search(token)
-    return m.group() if m else ""
+def read(text: str, title, book, first, last, model: Furniture | None = None) -> Iterator[tuple[str, int, str, str]]:
+    """(kind, line_no, token, alternative) of a scanned text: furniture lines, broken words (joined; with hyphen), other words."""
+    for kind, k, token, alt, words in read_lines(text, title, book, first, last, model):
+        if kind == "words":
+            yield from (("word", k, w, "") for w in words)
+        else:
+            yield kind, k, token, alt
 
 
-def read(text: str, title, book, first, last) -> Iterator[tuple[str, int, str, str]]:
-    """(kind, line_no, token, alternative) of a scanned text: furniture lines, broken words (joined; with hyphen), other words."""
+def read_lines(text: str, title, book, first, last, model: Furniture | None = None) -> Iterator[tuple[str, int, str, str, list[str]]]:
+    """As read(), with the words of a line together, and the halves of a broken word beside it."""
     lines = text.split("\n")
-    out = furniture(lines, title, book, first, last)
+    out = furniture(lines, title, book, first, last, model)
     for k in sorted(out):
-        yield "furniture", k, "", ""
+        yield "furniture", k, "", "", []
     live = [k for k, x in enumerate(lines) if x.strip() and k not in out]
-    carried = False
+    carried = ""
     for at, k in enumerate(live):
-        words = lines[k].split()
+        line = lines[k].rstrip()
         if carried:
-            words = words[1:]
-        carried = False
-        if words and len(words[-1]) > 1 and words[-1][-1] in _BREAKS and words[-1][-2].isalnum() and at + 1 < len(live):
-            nxt = lines[live[at + 1]].split()[0]
-            left, right = words[-1].rstrip(_BREAKS), nxt
+            line = line.lstrip()[len(carried) :]
+            carried = ""
+        if len(line) > 1 and line[-1] in _BREAKS and line[-2].isalnum() and at + 1 < len(live):
+            left, right = line.split()[-1], lines[live[at + 1]].split()[0]
             if right[0].isalnum():
-                words.pop()
-                carried = True
-                joined, dashed = _core(left + right), _core(left + "-" + right)
-                yield "hyphen", k, joined, dashed
-        for w in words:
-            if c := _core(w):
-                yield "word", k, c, ""
+                line, carried = line[: len(line) - len(left)], right
+                left = left.rstrip(_BREAKS)
+                pair = [m.group() if (m := _WORD.search(x)) else "" for x in (left + right, f"{left}-{right}")]
+                yield "hyphen", k, *pair, [left, right]
+        if words := _WORD.findall(line):
+            yield "words", k, "", "", words
 
 
 class Editor:
-    """Averaged-perceptron character editor: an operation replaces one or two characters by none to two others."""
+    """Averaged-perceptron character editor.
+
+    An operation replaces one or two characters by none to two others (so it
+    replaces, deletes or inserts), keeps a word as it is, or joins the halves
+    of a broken word with or without hyphen.
+    """
 
     def __init__(self):
         self.weights: dict[tuple, float] = {}
         self.ops: dict[str, list[str]] = {}
 
+    @staticmethod
+    def _keep_features(word: str) -> list[tuple]:
+        pad = f"^{word}$"
+        return [("keep",), ("keep", any(c.isdigit() for c in word), word.isalpha()), *(("keep", pad[i : i + 3]) for i in range(len(pad) - 2))]
+
+    def keep(self, word: str) -> float:
+        """The score of keeping a word as it is."""
+        return sum(self.weights.get(f, 0.0) for f in self._keep_features(word))
+
+    @staticmethod
+    def _join_features(left: str, right: str, put: str) -> list[tuple]:
+        a, b = left.rsplit("-", 1)[-1].lower(), right.split("-", 1)[0].lower()
+        return [("join", put), ("join", put, a[-3:]), ("join", put, b[:3]), ("join", put, a[-2:], b[:2]), ("join", put, min(len(a), 8)), ("join", put, "-" in left or "-" in right), ("join", put, b[:1].isdigit() or a[-1:].isdigit())]
+
+    def join(self, left: str, right: str) -> float:
+        """How much better it is to join two halves with a hyphen than without."""
+        of = lambda put: sum(self.weights.get(f, 0.0) for f in self._join_features(left, right, put))
+        return of("-") - of("")
+
     @staticmethod
     def _features(word: str, i: int, span: str, put: str) -> list[tuple]:
         pad = f"^^{word}$$"
@@ -193,8 +142,13 @@ class Editor:
         out.pop(word, None)
         return out
 
-    def train(self, pairs: list[tuple[str, str, int]], epochs: int = 4, seed: int = 7) -> Editor:
-        """Fit on (misread, right, count): the right operation must score above all others, which score above none."""
+    def train(self, pairs: list[tuple[str, str, int]], right: list[str] = (), epochs: int = 4, seed: int = 7) -> Editor:
+        """Fit on (misread, right, count) and on right words.
+
+        The right operation must score above all others and above keeping, on
+        right words keeping above all operations; right words broken at a
+        random place, or at their own hyphen, teach how to join.
+        """
         examples = []
         support: Counter = Counter()
         for bad, good, _ in pairs:
@@ -215,6 +169,13 @@ class Editor:
         stamp: dict[tuple, int] = defaultdict(int)
         rng, step = random.Random(seed), 0
         self.weights = w
+        examples += [(word, None) for word in right if len(word) > 3]
+        for word in right:
+            inner = [i for i in range(2, len(word) - 1) if word[i - 1].isalnum() and word[i].isalnum()]
+            if inner:
+                i = rng.choice(inner)
+                examples.append(((word[:i], word[i:]), ""))
+            examples += [((word[:i], word[i + 1 :]), "-") for i in range(1, len(word) - 1) if word[i] == "-"]
 
         def add(f, v):
             total[f] += (step - stamp[f]) * w[f]
@@ -223,13 +184,21 @@ class Editor:
 
         for _ in range(epochs):
             rng.shuffle(examples)
-            for word, (i, span, put) in examples:
+            for word, op in examples:
                 step += 1
+                if isinstance(word, tuple):
+                    if (self.join(*word) > 0) != (op == "-"):
+                        for put, v in (("-", 1.0), ("", -1.0)):
+                            for f in self._join_features(*word, put):
+                                add(f, v if op == "-" else -v)
+                    continue
                 best = self.proposals(word, 1)
-                if best and best[0][1:] != (i, span, put):
-                    for f in self._features(word, i, span, put):
+                kept = self.keep(word)
+                said = None if not best or best[0][0] <= kept else best[0][1:]
+                if said != op:
+                    for f in self._keep_features(word) if op is None else self._features(word, *op):
                         add(f, 1.0)
-                    for f in self._features(word, *best[0][1:]):
+                    for f in self._keep_features(word) if said is None else self._features(word, *said):
                         add(f, -1.0)
         for f in list(w):
             total[f] += (step - stamp[f]) * w[f]
@@ -256,40 +225,61 @@ def single_edit(bad: str, good: str) -> tuple[int, str, str] | None:
 
 def training_pairs(suspects: list[tuple[str, int]], right: list[tuple[str, int]]) -> list[tuple[str, str, int]]:
     """Rare words beside a far more frequent one that a single operation makes of them, if only one does."""
-    holes: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    keys = lambda w, widths: {f"{w[:i]}*{w[i + n:]}" for n in widths for i in range(len(w) - n + 1)}
-    for w, n in right:
+    wanted = {k for t, _ in suspects if len(t) >= 4 for w in (1, 2) for k in _shapes(t, w)}
+    holes: dict[int, list[int]] = defaultdict(list)
+    for at, (w, _) in enumerate(right):
         if len(w) >= 4:
-            for k in keys(w, (1, 2)):
-                holes[k].append((w, n))
+            for k in {k for n in (1, 2) for k in _shapes(w, n)} & wanted:
+                holes[k].append(at)
     out = []
     for t, n in suspects:
         if len(t) >= 4:
-            hits = {w for k in keys(t, (1, 2)) for w, m in holes.get(k, ()) if m >= RATIO * n and w != t}
-            if len(hits) == 1:
-                out.append((t, hits.pop(), n))
+            hits = {at for w in (1, 2) for k in _shapes(t, w) for at in holes.get(k, ())}
+            words = {right[at][0] for at in hits if right[at][1] >= RATIO * n and right[at][0] != t}
+            if len(words) == 1:
+                out.append((t, words.pop(), n))
     return out
 
 
-def _counts(chapters: DataFrame) -> DataFrame:
-    """(token, nd, ns): how often each word stands in digital and in scanned text, over all chapters; halves of broken words left out."""
+def _shapes(word: str, width: int) -> Iterator[int]:
+    """A word with a hole of one or two characters at each place; the hole itself may stand for one or two."""
+    return (hash((word[:i], word[i + width :])) for i in range(len(word) - width + 1))
+
+
+_FIELDS = ("id", "title", "book", "start_page", "end_page", "text")
+_READ = "id string, kind string, line_no int, token string, alt string, words array<string>"
+
+
+def _own(chapters: DataFrame) -> DataFrame:
+    return chapters.select(F.col("id").cast("string"), F.col("title"), F.col("book"), F.col("start_page").cast("int"), F.col("end_page").cast("int"), F.col("text"), (F.coalesce("source_format", F.lit("")) == "pdf_scan").alias("scan")).filter("text is not null")
+
+
+def learn_furniture(scans: DataFrame, most: int = MAX_CHAPTERS) -> Furniture:
+    """A Furniture model from about `most` chapters, those whose id's hash lies in the share that gives as many."""
+    share = min(1.0, most / max(1, scans.count()))
+    drawn = scans if share == 1 else scans.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return Furniture().train([tuple(r) for r in sorted(drawn.select("text", "title", "book", "start_page", "end_page").collect(), key=lambda r: (r.text, str(r)))])
+
+
+def _lines(scans: DataFrame, model: Furniture) -> DataFrame:
+    """read() of all scanned chapters: one pass over their texts."""
+    shared = scans.sparkSession.sparkContext.broadcast(model)
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nd, ns = Counter(), Counter()
-            for r in batch.to_pylist():
-                if r["scan"]:
-                    ns.update(t for kind, _, t, _ in read(r["text"], r["title"], r["book"], r["start_page"], r["end_page"]) if kind == "word")
-                else:
-                    nd.update(c for w in r["text"].split() if (c := _core(w)))
-            words = list({*nd, *ns})
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([nd[w] for w in words], pa.int64()), pa.array([ns[w] for w in words], pa.int64())], ["token", "nd", "ns"])
+            rows = [(i, *r) for i, title, book, first, last, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in read_lines(text, title, book, first, last, shared.value)]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "kind", "line_no", "token", "alt", "words"])
 
-    own = chapters.filter("text is not null").select(*_FIELDS, (F.coalesce("source_format", F.lit("")) == "pdf_scan").alias("scan"))
-    return own.mapInArrow(run, "token string, nd bigint, ns bigint").groupBy("token").agg(F.sum("nd").alias("nd"), F.sum("ns").alias("ns"))
+    return scans.select(*_FIELDS).mapInArrow(run, _READ)
 
 
-_FIELDS = ("id", "title", "book", "start_page", "end_page", "text")
+def _count_words(digital: DataFrame, lines: DataFrame) -> DataFrame:
+    """(token, nd, ns): how often each word stands in digital and in scanned text, over all chapters; halves of broken words left out."""
+    nd = digital.select(F.explode(F.regexp_extract_all("text", F.lit(_JVM_WORD), 0)).alias("token")).groupBy("token").agg(F.count("*").alias("nd"))
+    ns = lines.filter("kind = 'words'").select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("ns"))
+    return nd.join(ns, "token", "full_outer").select("token", F.coalesce("nd", F.lit(0)).alias("nd"), F.coalesce("ns", F.lit(0)).alias("ns"))
 
 
 def findings(chapters: DataFrame) -> DataFrame:
@@ -297,36 +287,30 @@ def findings(chapters: DataFrame) -> DataFrame:
 
     Null and blank texts give nothing; a null start_page leaves page numbers
     alone but still finds running heads. A broken word unknown in either form
-    is joined without hyphen. Words that no candidate explains are left alone.
+    is joined as the editor scores its halves. Words that no candidate
+    explains better than keeping them are left alone.
     """
+    return _findings(chapters).select("id", "kind", "line_no", "fix").distinct()
+
+
+def _findings(chapters: DataFrame) -> DataFrame:
+    """findings() with the word as it stood (`token`), not yet distinct."""
     spark = chapters.sparkSession
-    words = staged(_counts(chapters), "words")
+    own = _own(chapters)
+    scans = own.filter("scan").drop("scan")
+    lines = staged(_lines(scans, learn_furniture(scans)), "lines")
+    words = staged(_count_words(own.filter(~F.col("scan")).select("text"), lines), "words")
     worth = F.col("nd") * 5 + F.col("ns")
-    right = [(r[0], r[1]) for r in words.filter("nd >= 2").select("token", worth.alias("n")).orderBy(F.desc("n"), "token").limit(MAX_TRUSTED).collect()]
-    common = right or [(r[0], r[1]) for r in words.select("token", worth.alias("n")).filter(F.col("n") >= RATIO).orderBy(F.desc("n"), "token").limit(MAX_TRAINING_WORDS).collect()]
-    rare = [(r[0], r[1]) for r in words.filter("nd = 0 and ns > 0").select("token", "ns").orderBy(F.xxhash64("token")).limit(MAX_TRAINING_WORDS).collect()]
-    editor = Editor().train(training_pairs(rare, common[:MAX_TRAINING_WORDS]))
+    first = lambda d, n, *order: [(r[0], r[1]) for r in d.orderBy(*order).limit(n).collect()]
+    right = first(words.filter("nd >= 2").select("token", worth.alias("n")), MAX_TRAINING_WORDS, F.desc("n"), "token")
+    common = right or first(words.select("token", worth.alias("n")).filter(F.col("n") >= RATIO), MAX_TRAINING_WORDS, F.desc("n"), "token")
+    rare = first(words.filter("nd = 0 and ns > 0").select("token", "ns"), MAX_TRAINING_WORDS, F.xxhash64("token"))
+    editor = Editor().train(training_pairs(rare, common), [w for w, _ in common[:MAX_RIGHT_WORDS]])
     longest = words.filter((F.col("nd") >= 2) | (worth >= RATIO)).agg(F.max(F.length("token"))).first()[0] or 0
-    shared = spark.sparkContext.broadcast((editor, frozenset(w for w, _ in right), longest))
-
-    def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trusted = shared.value[1]
-        for batch in batches:
-            rows = [
-                (r["id"], kind, k, t, alt)
-                for r in batch.to_pylist()
-                for kind, k, t, alt in read(r["text"], r["title"], r["book"], r["start_page"], r["end_page"])
-                if kind != "word" or t not in trusted
-            ]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "kind", "line_no", "token", "alt"])
-
-    scans = chapters.filter("text is not null and source_format = 'pdf_scan'").select(*_FIELDS)
-    spots = staged(scans.mapInArrow(spot, "id string, kind string, line_no int, token string, alt string"), "spots")
+    shared = spark.sparkContext.broadcast((editor, longest))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _, most = shared.value
+        own, most = shared.value
         for batch in batches:
             rows = []
             for t in batch.column(0).to_pylist():
@@ -334,26 +318,110 @@ def findings(chapters: DataFrame) -> DataFrame:
                 if d is not None:
                     rows.append((t, d, 1e6 if d != t else 2e6))
                     continue
-                rows += [(t, c, s) for c, s in own.candidates(t, most).items()]
+                kept = own.keep(t)
+                rows += [(t, c, s - kept) for c, s in own.candidates(t, most).items()]
             cols = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["token", "cand", "s"])
 
-    forms = spots.filter("kind <> 'furniture'").select(F.explode(F.array("token", "alt")).alias("token")).filter("token <> ''").distinct()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = shared.value
+        for batch in batches:
+            halves = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.join(*h) for h in halves], pa.float64())], ["words", "j"])
+
+    broken = lines.filter("kind = 'hyphen'").select("id", "line_no", "token", "alt", "words")
     known = words.select("token", "nd", "ns")
-    doubtful = forms.join(known, "token", "left").select("token", F.coalesce("nd", F.lit(0)).alias("nd"), F.coalesce("ns", F.lit(0)).alias("ns"))
+    doubtful = broken.select(F.explode(F.array("token", "alt")).alias("token")).filter("token <> ''").distinct().join(known, "token", "left").select("token", F.coalesce("nd", F.lit(0)).alias("nd"), F.coalesce("ns", F.lit(0)).alias("ns"))
+    doubtful = doubtful.unionByName(known.filter("nd = 0")).distinct()
     asked = doubtful.filter("nd = 0").select("token").mapInArrow(propose, "token string, cand string, s double")
     checked = asked.join(known.select(F.col("token").alias("cand"), F.col("nd").alias("cd"), F.col("ns").alias("cs")), "cand", "left").join(doubtful, "token")
-    fits = (F.col("s") >= 1e6) | (F.col("cd") >= 2) | ((F.coalesce("cd", F.lit(0)) * 5 + F.coalesce("cs", F.lit(0))) >= RATIO * F.greatest("ns", F.lit(1)))
-    value = F.col("s") + F.log1p(F.coalesce("cd", F.lit(0)) * 5 + F.coalesce("cs", F.lit(0)))
-    fixes = checked.filter(fits).groupBy("token").agg(F.max_by("cand", F.struct(value, "cand")).alias("fix"))
-    verdicts = staged(
-        doubtful.join(fixes, "token", "left").select("token", F.when(F.col("nd") == 0, F.col("fix")).alias("fix"), (F.col("nd") * 5 + F.col("ns")).alias("n"), (F.col("nd") > 0).alias("sure")), "fixes"
-    )
-    misread = spots.filter("kind = 'word'").join(verdicts.filter("fix is not null and fix <> token").select("token", "fix"), "token").select("id", F.lit("misread").alias("kind"), "line_no", "fix")
-    ranked = lambda c: verdicts.select(F.col("token").alias(c), F.struct((F.when(F.col("sure"), 3).when(F.col("fix").isNotNull(), 2).when(F.col("n") > 0, 1).otherwise(0)).alias("r"), F.col("n").alias("n"), F.coalesce("fix", "token").alias("fix")).alias("v_" + c))
-    broken = spots.filter("kind = 'hyphen'").join(ranked("token"), "token", "left").join(ranked("alt"), "alt", "left")
-    joined = F.coalesce("v_token.fix", "token")
-    take = (F.col("v_alt.r") > F.col("v_token.r")) | ((F.col("v_alt.r") == F.col("v_token.r")) & (F.col("v_alt.n") > F.col("v_token.n")))
-    hyphen = broken.select("id", F.lit("hyphen").alias("kind"), "line_no", F.when(F.coalesce(take, F.lit(False)), F.col("v_alt.fix")).otherwise(joined).alias("fix"))
-    edges = spots.filter("kind = 'furniture'").select("id", "kind", "line_no", F.lit("").alias("fix"))
-    return edges.unionByName(hyphen).unionByName(misread).distinct()
+    seen = F.coalesce("cd", F.lit(0)) * 5 + F.coalesce("cs", F.lit(0))
+    fits = (F.col("s") >= 1e6) | (F.col("cd") >= 2) | (seen >= RATIO * F.greatest("ns", F.lit(1)))
+    # keeping has the evidence of the word's own count
+    value = F.col("s") + F.log1p(seen) - F.log1p("ns")
+    fixes = checked.filter(fits & (value > 0)).groupBy("token").agg(F.max_by("cand", F.struct(value, "cand")).alias("fix"))
+    verdicts = staged(doubtful.join(fixes, "token", "left").select("token", F.when(F.col("nd") == 0, F.col("fix")).alias("fix"), (F.col("nd") * 5 + F.col("ns")).alias("n"), (F.col("nd") > 0).alias("sure")), "fixes")
+    release(words)
+    wrong = verdicts.filter("fix is not null and fix <> token").select("token", "fix")
+    misread = lookup_join(lines.filter("kind = 'words'").select("id", "line_no", F.explode("words").alias("token")), wrong, "token", "inner").select("id", F.lit("misread").alias("kind"), "line_no", "token", "fix")
+
+    def ranked(c: str) -> DataFrame:
+        rank = F.when(F.col("sure"), 3).when(F.col("fix").isNotNull(), 2).when(F.col("n") > 0, 1).otherwise(0)
+        return verdicts.select(F.col("token").alias(c), F.struct(rank.alias("r"), F.col("n").alias("n"), F.coalesce("fix", "token").alias("fix")).alias("v_" + c))
+
+    joins = broken.select("words").distinct().mapInArrow(join, "words array<string>, j double")
+    both = lookup_join(lookup_join(lookup_join(broken, ranked("token"), "token"), ranked("alt"), "alt"), joins, "words")
+    better = lambda f: F.col(f"v_alt.{f}") > F.col(f"v_token.{f}")
+    same = lambda f: F.col(f"v_alt.{f}") == F.col(f"v_token.{f}")
+    dashed = F.coalesce(better("r") | (same("r") & (better("n") | (same("n") & (F.col("v_token.r") == 0) & (F.col("j") > 0)))), F.lit(False))
+    hyphen = both.select("id", F.lit("hyphen").alias("kind"), "line_no", "token", F.when(dashed, F.col("v_alt.fix")).otherwise(F.coalesce("v_token.fix", "token")).alias("fix"))
+    edges = lines.filter("kind = 'furniture'").select("id", "kind", "line_no", "token", F.lit("").alias("fix"))
+    return edges.unionByName(hyphen).unionByName(misread)
+
+
+def repair(text: str, found: list[tuple[str, int, str, str]]) -> str:
+    """The text as continuous paragraphs: furniture dropped, broken words joined, misread words put right; (kind, line_no, token, fix) are its findings."""
+    lines = text.split("\n")
+    gone = {k for kind, k, *_ in found if kind == "furniture"}
+    joins = {k: fix for kind, k, _, fix in found if kind == "hyphen"}
+    fixes: dict[int, dict[str, str]] = defaultdict(dict)
+    for kind, k, token, fix in found:
+        if kind == "misread":
+            fixes[k][token] = fix
+    paragraphs: list[str] = []
+    parts: list[str] = []
+    carried = ""
+    first = next((k for k, x in enumerate(lines) if x.strip()), None)
+    for k, raw in enumerate(lines):
+        if k in gone:
+            continue
+        line = raw.strip()
+        if not line or k == first:
+            # a blank line ends a paragraph, unless a word is broken over it, or it stands at a page end within a sentence
+            page = not line and gone & {k - 1, k + 1} and parts and parts[-1][-1:].isalnum()
+            if parts and not carried and not page:
+                paragraphs.append(" ".join(parts))
+                parts = []
+            if not line:
+                continue
+        if carried:
+            line = line[len(line.split()[0]) :].lstrip()
+            parts.append(carried)
+            carried = ""
+        if k in joins:
+            left = line.split()[-1]
+            line = line[: len(line) - len(left)].rstrip()
+            nxt = next((lines[j].split()[0] for j in range(k + 1, len(lines)) if j not in gone and lines[j].strip()), "")
+            whole = left.rstrip(_BREAKS) + nxt
+            m = _WORD.search(whole)
+            carried = whole[: m.start()] + joins[k] + whole[m.end() :] if m else whole
+        if k in fixes:
+            line = re.sub(r"\S+", lambda w: _WORD.sub(lambda m: fixes[k].get(m.group(), m.group()), w.group(), count=1), line)
+        if line:
+            parts.append(re.sub(r"\s+", " ", line))
+        if k == first and not carried:
+            paragraphs.append(" ".join(parts))
+            parts = []
+    if carried:
+        parts.append(carried)
+    if parts:
+        paragraphs.append(" ".join(parts))
+    return "\n\n".join(paragraphs)
+
+
+def repaired(chapters: DataFrame) -> DataFrame:
+    """(id, text) of all scanned chapters, repaired into paragraphs parted by an empty line; null and blank texts come out as they are.
+
+    Findings are gathered by chapter, whose text bounds them; a chapter
+    delivered twice under another id is a chapter of its own.
+    """
+    found = _findings(chapters).distinct().groupBy("id").agg(F.collect_list(F.struct("kind", "line_no", "token", "fix")).alias("found"))
+    scans = chapters.filter(F.coalesce("source_format", F.lit("")) == "pdf_scan").select(F.col("id").cast("string"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            out = [t if t is None or not t.strip() else repair(t, [tuple(f.values()) for f in found or ()]) for t, found in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
+
+    return scans.join(found, "id", "left").mapInArrow(run, "id string, text string")

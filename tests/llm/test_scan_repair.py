@@ -1,6 +1,7 @@
 import random
 
-from lattica.llm.scan_repair import Editor, digits, findings, furniture, read, roman, single_edit, training_pairs
+from lattica.llm.page_furniture import Furniture
+from lattica.llm.scan_repair import Editor, digits, findings, furniture, read, repair, repaired, roman, single_edit, training_pairs
 
 WORDS = "treatment recording interval myocardial infarction presents electrode position ventricular persistent changes amplitude leads patient usually shortens precordial confirmed criteria beta-blocker".split()
 
@@ -71,3 +72,40 @@ def test_findings(spark):
     assert sum(r[1] == "misread" and r[0][0] == "n" for r in got) >= 20
     assert all(r[0] not in ("s2", "s3") for r in got)
     assert findings(df.filter("false")).collect() == []
+
+
+def pages(rng, k, first, style="{}"):
+    """A scanned chapter of five pages with heads and page numbers, and what is furniture in it."""
+    lines, gone = [f"Title {k} of Things"], set()
+    for p in range(5):
+        lines += [" ".join(rng.choice(WORDS) for _ in range(8)) for _ in range(12)] + ["", style.format(first + p), f"\x0cBook of Signals | Title {k} of Things"]
+        gone |= {len(lines) - 1, len(lines) - 2}
+        lines += [f"{rng.randrange(100, 400)} bpm"] * (p % 2)
+    return "\n".join(lines), f"Title {k} of Things", "Book of Signals", first, first + 5, gone
+
+
+def test_furniture_is_learned_from_page_positions():
+    rng = random.Random(2)
+    made = [pages(rng, k, rng.randrange(5, 300)) for k in range(60)]
+    model = Furniture().train([m[:5] for m in made[:40]])
+    assert all(model.lines_of(m[0].split("\n"), *m[1:5]) == m[5] for m in made[40:])
+    worn = made[50][0].replace("Signals | Title", "Signa1s | Tit1e")
+    assert model.lines_of(worn.split("\n"), *made[50][1:5]) == made[50][5]
+    # no end page: numbers far from the chain don't count, and no number is out of reach by itself
+    text, title, book, first, _, gone = pages(rng, 7, 5_000)
+    assert model.lines_of((text + "\n98000").split("\n"), title, book, first, None) == gone
+
+
+def test_keep_and_join_operations():
+    words = [w for w in WORDS if "-" not in w] + ["beta-blocker", "beta-adrenergic", "beta-lactam", "beat-to-beat"] * 3
+    e = Editor().train([("1eads", "leads", 1), ("e1ectrode", "electrode", 1), ("c1assic", "classic", 1), ("usua11y", "usually", 1)] * 3, words * 10)
+    assert e.join("beta", "blocking") > 0 > e.join("recor", "ding")
+    assert all(e.keep(w) > max((s for s, *_ in e.proposals(w)), default=-1e9) for w in words)
+
+
+def test_repaired_paragraphs(spark):
+    assert repair("Head\n\nOne two.\n12\n\nThe reco-\n\x0cHEAD\nrding, was\ngo0d.\n\nNext.", [("furniture", 3, "", ""), ("furniture", 6, "", ""), ("hyphen", 5, "recording", "recording"), ("misread", 8, "go0d", "good")]) == "Head\n\nOne two.\n\nThe recording, was good.\n\nNext."
+    rows = corpus(random.Random(3)) + [("s1", "Some Title", 7, 9, "Book", "Some Title\n\nThe reco-\nrding of\nleads 7l4\n- 7 -\nleads", "pdf_scan"), ("s2", None, None, None, None, None, "pdf_scan"), ("s3", None, None, None, None, " \n", "pdf_scan")]
+    df = spark.createDataFrame(rows, "id string, title string, start_page int, end_page int, book string, text string, source_format string")
+    got = {r.id: r.text for r in repaired(df).collect()}
+    assert got == {"s1": "Some Title\n\nThe recording of leads 714 leads", "s2": None, "s3": " \n"}
