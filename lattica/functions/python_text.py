@@ -8,27 +8,20 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Abbreviations after which a point doesn't end a sentence.
-PROTECTED = ("Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "vs.", "etc.", "i.e.", "e.g.", "Fig.", "Figs.", "No.", "et al.", "approx.", "St.", "Inc.", "Ltd.", "Vol.")
-_GUARD = "\ue000"
+#: Abbreviations whose points don't end a sentence.
+PROTECTED = ("Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "vs.", "etc.", "i.e.", "e.g.", "et al.", "Inc.", "Ltd.", "Co.", "U.S.", "U.K.", "a.m.", "p.m.")
+_SHORT = re.compile("|".join(re.escape(a) for a in PROTECTED))
+_END = re.compile(r"([.!?])[\"']*(?=\s|$)")
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """Sentences after ., ! or ? with trailing quotes, before white space or the end; abbreviations protected, pieces of three characters or fewer dropped."""
+    """Sentences ending in ., ! or ? with quotes, before white space or the end; points of abbreviations don't count, sentences of three characters or fewer are dropped."""
     if not text:
         return []
-    t = text
-    for a in PROTECTED:
-        t = t.replace(a, a.replace(".", _GUARD))
-    parts = re.split(r"(?<=[.!?])(?=[\"'”’]*(?:\s|$))", t)
-    out, carry = [], ""
-    for p in parts:
-        m = re.match(r"[\"'”’]+", p)
-        if m and out:
-            out[-1] += m.group()
-            p = p[m.end() :]
-        out.append(p)
-    return [s for x in out if len(s := (carry + x).replace(_GUARD, ".").strip()) > 3]
+    spared = {k for m in _SHORT.finditer(text) for k in range(*m.span()) if text[k] == "."}
+    cuts = [m.end() for m in _END.finditer(text) if m.start() not in spared]
+    parts = (text[a:b].strip() for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True))
+    return [p for p in parts if len(p) > 3]
 
 
 def batches(sentences: list[str], most: int = 1200) -> list[str]:

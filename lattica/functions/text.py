@@ -43,13 +43,20 @@ def relation_name(x: Column) -> Column:
     return F.when(F.coalesce(t, F.lit("")) == "", "RELATED_TO").when(t.rlike("^[0-9]"), F.concat(F.lit("REL_"), t)).otherwise(t)
 
 
-#: Id prefixes and their node types, tested in this order.
-ID_TYPES = (("SS", "SignSymptom"), ("DT", "DiagnosticTest"), ("PC", "PacingCondition"), ("TI", "TreatmentIntervention"), ("D", "Disease"))
+#: Categories of temporary ids, and id prefixes in the order of their test, with their node types.
+TEMP_TYPES = {
+    "diseases": "Disease", "disease": "Disease", "symptoms": "Symptoms", "symptom": "Symptoms", "diagnostic_test": "DiagnosticTest", "diagnostictest": "DiagnosticTest",
+    "examinations": "DiagnosticTest", "examination": "DiagnosticTest", "patient_characteristics": "PatientCharacteristics", "patientcharacteristics": "PatientCharacteristics",
+    "treatments": "TreatmentIntervention", "treatment": "TreatmentIntervention", "treatmentintervention": "TreatmentIntervention", "intervention": "TreatmentIntervention",
+}
+ID_TYPES = (("SS", "Symptoms"), ("DT", "DiagnosticTest"), ("PC", "PatientCharacteristics"), ("TI", "TreatmentIntervention"), ("D", "Disease"))
 
 
 def type_of_id(x: Column) -> Column:
-    """Node type from an ontology id; TEMP_<type>_<n> gives its own type, anything else null."""
-    out = F.when(x.rlike(r"^TEMP_.+_\d+$"), camel(F.regexp_extract(x, r"^TEMP_(.+)_\d+$", 1)))
+    """Node type from an ontology id: of a temporary id by its category, else by prefix; null where neither is known."""
+    category = F.lower(F.regexp_extract(x, r"^TEMP_([a-zA-Z_]+)_\d+", 1))
+    table = F.create_map(*[F.lit(v) for kv in TEMP_TYPES.items() for v in kv])
+    out = F.when(category != "", F.try_element_at(table, category))
     for prefix, kind in ID_TYPES:
         out = out.when(x.startswith(prefix), F.lit(kind))
     return out
@@ -116,7 +123,8 @@ def section_title(x: Column) -> Column:
 
 
 def term_similarity(a: Column, b: Column) -> Column:
-    """1 if equal, 0.8 if one holds the other, else the Jaccard index of their characters."""
+    """1 if equal, 0.8 if one holds the other, else the Jaccard index of their characters, letter case aside."""
+    a, b = F.lower(a), F.lower(b)
     sa, sb = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
     inter, union = F.size(F.array_intersect(sa, sb)), F.size(F.array_union(sa, sb))
     return F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.8).otherwise(F.coalesce(F.try_divide(inter, union), F.lit(0.0)))
@@ -134,8 +142,78 @@ def preview(x: Column, most: int = 200) -> Column:
 
 def clean_lines(x: Column) -> Column:
     """Trimmed lines without blank ones."""
-    return F.array_join(F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: s != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: s != ""), "\n")
 
 
 def word_count(x: Column) -> Column:
     return F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), r"\s+"))).cast("bigint")
+
+
+def cache_key(x: Column) -> Column:
+    """The key of a mapping cache: lower case, ends trimmed."""
+    return F.lower(F.trim(x))
+
+
+def first_text(*candidates: Column) -> Column:
+    """The first candidate that is neither null nor empty, else '' (F12, F13)."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates], F.lit(""))
+
+
+#: The property that names a node of each kind, in the order of their test.
+NAMING = (("Knowledge", ("normalized_name", "name")), ("ECGFinding", ("name",)), ("Ontology", ("name_en",)), ("FindingLabel", ("name",)), ("DiseaseLabel", ("label",)))
+
+
+def embedding_text(labels: Column, props: dict[str, Column]) -> Column:
+    """The text of a node to embed, by its first known label; of other nodes the first of their usual names."""
+    pick = lambda names: F.trim(F.coalesce(*[props.get(n, F.lit(None).cast("string")) for n in names], F.lit("")))
+    out = None
+    for label, names in NAMING:
+        hit = F.array_contains(labels, label)
+        out = F.when(hit, pick(names)) if out is None else out.when(hit, pick(names))
+    return out.otherwise(first_text(*[props.get(n, F.lit(None).cast("string")) for n in ("name", "normalized_name", "name_en")]))
+
+
+#: Properties that may hold an edge's type, its evidence, and its confidence, in the order of their test.
+TYPE_KEYS = ("edge_type", "relation", "predicate", "sem_type", "type")
+EVIDENCE_KEYS = ("source_sentence", "evidence_sentence", "sentence", "source", "evidence_text")
+CONFIDENCE_KEYS = ("confidence", "sim_score", "similarity")
+
+
+def edge_type(props: Column, rel: Column) -> Column:
+    """The first type among an edge's JSON properties, else its relation."""
+    return F.coalesce(*[F.get_json_object(props, f"$.{k}") for k in TYPE_KEYS], rel)
+
+
+def edge_evidence(props: Column) -> Column:
+    """The first non-empty evidence among an edge's JSON properties, null without one."""
+    return F.coalesce(*[F.nullif(F.get_json_object(props, f"$.{k}"), F.lit("")) for k in EVIDENCE_KEYS])
+
+
+def edge_confidence(props: Column) -> Column:
+    """The first confidence among an edge's JSON properties, else 1."""
+    return F.coalesce(*[F.get_json_object(props, f"$.{k}").try_cast("double") for k in CONFIDENCE_KEYS], F.lit(1.0))
+
+
+def options_map(options: Column) -> Column:
+    """A list of options as a map keyed by position."""
+    return F.map_from_entries(F.transform(options, lambda v, i: F.struct(i.cast("string"), v)))
+
+
+def or_first_option(answer: Column, options: Column) -> Column:
+    """The answer, else the first key of the options."""
+    return F.coalesce(answer, F.get(F.array_sort(F.map_keys(options)), 0))
+
+
+def iso_utc(ts: Column) -> Column:
+    """A time as ISO text with seconds and Z."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def entity_line(key: Column, *names: Column) -> Column:
+    """'- id: label', the label being the first name present."""
+    return F.format_string("- %s: %s", key, F.coalesce(*[F.nullif(n, F.lit("")) for n in names], F.lit("Unknown")))
+
+
+def child_level(parent: Column) -> Column:
+    """The level of a child: points in its parent's id plus one."""
+    return (F.length(parent) - F.length(F.replace(parent, F.lit("."), F.lit(""))) + 1).cast("bigint")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.session import staged
+from lattica.session import release, staged
 
 #: Relations a traversal prefers, and the one it falls back on.
 PREFERRED = ("AFFECTS", "ASSOCIATED_WITH", "CAUSES", "DIAGNOSES", "INDICATES", "IS_SPECIFIC_FOR", "MEASURES", "PART_OF", "PRECEDES", "PREVENTS", "SUPPORTS", "TREATS")
@@ -115,17 +115,71 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return fwd.unionByName(back).groupBy("u", "v", "pos").agg(F.min_by(F.struct("src", "rel", "dst", "reversed"), rank).alias("e")).select("u", "v", "pos", "e.*")
 
 
-def depths(edges: DataFrame, rel: str = FALLBACK, most: int = 64) -> DataFrame:
-    """(node_id, depth): the longest directed path from a root; nodes on cycles have none beyond `most`."""
-    e = edges.filter(F.col("rel") == rel).select("src", "dst").distinct()
+def depths(edges: DataFrame, rel: str = FALLBACK) -> DataFrame:
+    """(node_id, depth): the longest directed path from a root.
+
+    A node below a cycle has no longest path: nodes are settled level by level
+    once all their parents are, so such nodes and those on cycles get none.
+    """
+    e = staged(edges.filter(F.col("rel") == rel).filter("src <> dst").select("src", "dst").distinct())
     roots = e.select(F.col("src").alias("node_id")).join(e.select(F.col("dst").alias("node_id")), "node_id", "left_anti").distinct()
-    level, found = roots, roots.withColumn("depth", F.lit(0))
-    for k in range(1, most + 1):
-        level = staged(level.join(e, level["node_id"] == e["src"]).select(F.col("dst").alias("node_id")).distinct())
-        if level.isEmpty():
-            break
-        found = found.unionByName(level.withColumn("depth", F.lit(k)))
-    return found.groupBy("node_id").agg(F.max("depth").alias("depth"))
+    level, found, depth = staged(roots), [], 0
+    while not level.isEmpty():
+        found.append(level.withColumn("depth", F.lit(depth)))
+        # edges of settled parents go; children without a remaining edge are settled next
+        rest = staged(e.join(level.select(F.col("node_id").alias("src")), "src", "left_anti"))
+        freed = e.join(level.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
+        level = staged(freed.join(rest.select(F.col("dst").alias("node_id")), "node_id", "left_anti"))
+        release(e)
+        e, depth = rest, depth + 1
+    out = found[0] if found else roots.withColumn("depth", F.lit(0))
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def oriented(g: Graph, a: str, b: str) -> DataFrame:
+    """(a, b, rel): edges between two kinds of nodes in either direction, given in one, each once."""
+    there = pattern(g, a, b).select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel")
+    back = pattern(g, b, a).select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel")
+    return there.unionByName(back).distinct()
+
+
+def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an end in the set (node_id), each row once (P10)."""
+    own = nodes.select("node_id").distinct()
+    here = edges.join(own, edges["src"] == own["node_id"], "left_semi")
+    there = edges.join(own, edges["dst"] == own["node_id"], "left_semi").join(own, edges["src"] == own["node_id"], "left_anti")
+    return here.unionByName(there)
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node_id, direction, rel, other): both directions of each edge, repeats dropped."""
+    return either_way(edges).select("node_id", "direction", "rel", "other").distinct()
+
+
+def lineage(edges: DataFrame, kinds: tuple[str, ...] = ("IS_A", "INSTANTIATES")) -> DataFrame:
+    """(node_id, role, other): parents and children of each node; an edge's source is the child."""
+    e = edges.filter(F.upper("rel").isin(*kinds)).select("src", "dst").distinct()
+    return e.select(F.col("src").alias("node_id"), F.lit("parent").alias("role"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("node_id"), F.lit("child").alias("role"), F.col("src").alias("other")))
+
+
+def flat_nodes(nodes: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """One row for each wanted label of a node."""
+    return nodes.select("node_id", F.explode(F.array_intersect("labels", F.array(*map(F.lit, labels)))).alias("node_type"), "name")
+
+
+def local_export(g: Graph, labels: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(node_type, node_id, local_id) of each label, numbered from 0 by id, and (rel, src_type, src, dst_type, dst) of the edges between them."""
+    from lattica.operators.relational import dense_ids
+
+    parts = [dense_ids(g.nodes.filter(has_labels(x)).select("node_id").distinct(), "node_id").select(F.lit(x).alias("node_type"), "node_id", "local_id") for x in labels]
+    nodes = parts[0]
+    for p in parts[1:]:
+        nodes = nodes.unionByName(p)
+    end = lambda c: nodes.select(F.col("node_id").alias(c), F.col("node_type").alias(f"{c}_type"), F.col("local_id").alias(f"{c}_local"))
+    edges = g.edges.join(end("src"), "src").join(end("dst"), "dst").select("rel", "src_type", F.col("src_local").alias("src"), "dst_type", F.col("dst_local").alias("dst"))
+    return nodes, edges
 
 
 def synonym_groups(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vectors import clip, logit, sigmoid
+from lattica.operators.relational import running
 
 #: Weights by mapping verdict of findings and of labels, and by relation of evidence.
 FINDING_WEIGHTS = {"EXACT": 1.0, "NARROWER": 0.8, "BROADER": 0.6, "RELATED": 0.1, "NONE": 0.0}
@@ -51,18 +52,15 @@ def counts_by_score(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def auroc(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, auroc): Mann-Whitney with half for ties; null with one class only."""
-    c = counts_by_score(df, keys)
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = c.withColumn("_u", F.col("pos") * (below + F.col("neg") / 2))
+    """(keys, auroc): Mann-Whitney with half for ties; null with one class only (M07). Sums run over range partitions, so a label is no single task."""
+    c = running(counts_by_score(df, keys), keys, [F.col("p")], _below=F.col("neg"))
+    x = c.withColumn("_u", F.col("pos") * (F.col("_below") - F.col("neg") / 2))
     return x.groupBy(*keys).agg(F.try_divide(F.sum("_u"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
 
 
 def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ap): sum of recall gains times precision over falling scores; null without a positive."""
-    c = counts_by_score(df, keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    x = c.withColumns({"_tp": F.sum("pos").over(w), "_n": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    x = running(counts_by_score(df, keys), keys, [-F.col("p")], _tp=F.col("pos"), _n=F.col("pos") + F.col("neg"))
     return x.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * F.col("_tp") / F.col("_n")), F.sum("pos").cast("double")).alias("ap"))
 
 
@@ -84,3 +82,24 @@ def fit_thresholds(df: DataFrame, key: str, grid: int = 201, default: float = 0.
     best = x.groupBy(key).agg(F.max(first).alias("b"), F.first("P").alias("P"), F.first("N").alias("N"))
     ok = (F.col("P") >= min_pos) & (F.col("N") > 0)
     return best.select(key, F.when(ok, -F.col("b.t") / (grid - 1)).otherwise(default).alias("tau"), F.when(ok, F.col("b.f")).alias("f1"))
+
+
+def assemble_batch(model: DataFrame, graph: DataFrame, key: str) -> DataFrame:
+    """The rows of `model` (key, label, model, y) with the graph's score beside them, the model's where the graph has none; joined by key, so rows can't shift."""
+    return model.join(graph.select(key, F.col("graph").alias("_g")), key, "left").withColumn("graph", F.coalesce("_g", "model")).drop("_g")
+
+
+def graph_only_run(batch: DataFrame, threshold: float, grid: tuple[float, ...] = tuple(k / 100 for k in range(16))) -> DataFrame:
+    """(run, lam, macro, micro, gain): the model alone and its best blend with the graph's scores, by macro F1 over labels.
+
+    batch: label, model, graph, y. The grid is exploded within rows and counted
+    at once, one pass over the batch.
+    """
+    x = batch.withColumn("lam", F.explode(F.array(*[F.lit(float(k)) for k in grid])))
+    hit = blend(F.col("model"), F.col("graph"), F.col("lam")) >= threshold
+    c = x.groupBy("lam", "label").agg(F.count_if(hit & F.col("y")).alias("tp"), F.count_if(hit & ~F.col("y")).alias("fp"), F.count_if(~hit & F.col("y")).alias("fn"))
+    f1 = lambda tp, fp, fn: scores(tp, fp, fn)[2]
+    m = c.groupBy("lam").agg(F.round(F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))), 6).alias("macro"), F.round(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 6).alias("micro"))
+    base = m.filter("lam = 0").select(F.col("macro").alias("_base"))
+    best = m.orderBy(F.desc("macro"), "lam").limit(1).join(base)
+    return m.filter("lam = 0").select(F.lit("model").alias("run"), "lam", "macro", "micro", F.lit(0.0).alias("gain")).unionByName(best.select(F.lit("blend").alias("run"), "lam", "macro", "micro", F.round(F.col("macro") - F.col("_base"), 6).alias("gain")))

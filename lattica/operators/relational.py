@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lattica.session import cut_lineage
 
-#: Rows a list may have to be broadcast into a nested-loop join.
-MAX_LIST = 10_000
+#: Entries of a list searched at once; longer lists are searched in blocks.
+LIST_BLOCK = 100_000
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -59,16 +59,87 @@ def dense_ids(df: DataFrame, key: str, partitions: int | None = None) -> DataFra
     return ordered.withColumns({"_p": F.spark_partition_id(), "_row": row}).join(offset, "_p").withColumn("local_id", F.col("_row") + F.col("_start")).drop("_p", "_row", "_start")
 
 
-def first_containment(df: DataFrame, vocab: DataFrame, key: str, text: str, needle: str, other: str, order: str) -> DataFrame:
-    """Each text with the first entry, in list order, whose `needle` it holds or whose `other` holds it.
+def _contained(entries: list[tuple]):
+    """Search of a block of entries (order, needle, other), sorted by order: the first one whose needle a text holds or whose other holds the text."""
+    import bisect
 
-    The list is counted first; beyond MAX_LIST entries an error is raised, as
-    a containment has no key to join on.
+    import ahocorasick
+    import pyarrow as pa
+
+    automaton = ahocorasick.Automaton()
+    for i, (_, needle, _) in enumerate(entries):
+        if needle and needle not in automaton:
+            automaton.add_word(needle, i)
+    if len(automaton):
+        automaton.make_automaton()
+    starts, at = [], 0
+    for *_, other in entries:
+        starts.append(at)
+        at += len(other or "") + 1
+    glued = "\0".join(other or "" for *_, other in entries)
+
+    def first(text: str) -> int | None:
+        hits = [i for _, i in automaton.iter(text)] if len(automaton) else []
+        if text and "\0" not in text and (p := glued.find(text)) >= 0:
+            hits.append(bisect.bisect_right(starts, p) - 1)
+        return min(hits, default=None)
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            found = [None if t is None else first(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([None if i is None else entries[i][0] for i in found], pa.string())], ["_id", "_entry"])
+
+    return run
+
+
+def first_containment(df: DataFrame, vocab: DataFrame, key: str, text: str, needle: str, other: str, order: str, block: int = LIST_BLOCK) -> DataFrame:
+    """Each row with the first entry, in list order, whose `needle` its text holds or whose `other` holds it.
+
+    A block of the list is an automaton over the needles and one string of the
+    others, built once a task; each text is read once, nothing is compared
+    pair by pair. A list above `block` entries is searched in blocks, the
+    first hit of all counts. Empty needles and null texts match nothing.
     """
-    if vocab.limit(MAX_LIST + 1).count() > MAX_LIST:
-        raise ValueError(f"the list has more than {MAX_LIST} entries")
-    hits = df.join(F.broadcast(vocab), F.contains(F.col(text), F.col(needle)) | F.contains(F.col(other), F.col(text)))
-    return first_per_key(hits, [key], order)
+    rows = sorted((str(r[0]), r[1], r[2]) for r in vocab.select(order, needle, other).filter(F.col(order).isNotNull()).collect())
+    kind = dict(df.dtypes)[key]
+    own = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    best = None
+    for a in range(0, max(1, len(rows)), block):
+        hit = own.mapInArrow(_contained(rows[a : a + block]), f"_id {kind}, _entry string").filter("_entry is not null")
+        best = hit if best is None else best.unionByName(hit)
+    if len(rows) > block:
+        best = best.groupBy("_id").agg(F.min("_entry").alias("_entry"))
+    return best.join(F.broadcast(vocab.limit(block)) if len(rows) <= block else vocab, F.col("_entry") == F.col(order).cast("string")).withColumnRenamed("_id", key).drop("_entry")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], **values: Column) -> DataFrame:
+    """The frame with running sums of `values` within each key in a total order, this row included.
+
+    Rows are range-partitioned by key and order; sums run within a partition
+    and start from the sums of the partitions before it, so a key with a
+    third of all rows spreads over a third of the tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = df.withColumns({**{f"_o{i}": c for i, c in enumerate(order)}, **{f"_v_{k}": v for k, v in values.items()}})
+    by = [*keys, *(f"_o{i}" for i in range(len(order)))]
+    placed = cut_lineage(x.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p", *keys).orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_p", *keys).agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values], F.lit(1).alias("_one"))
+    carried = sums.withColumns({**{f"_b_{k}": F.sum(f"_s_{k}").over(before) for k in values}, "_earlier": F.count("_one").over(before)}).filter("_earlier > 0")
+    # keys that run over a partition's end: fewer rows than partitions
+    starts = F.broadcast(carried.select(F.col("_p").alias("_sp"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_b_{k}" for k in values]))
+    local = placed.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(w) for k in values})
+    joined = local.join(starts, (local["_p"] == F.col("_sp")) & _all_same(local, keys), "left")
+    return joined.select(*df.columns, *[(F.col(f"_r_{k}") + F.coalesce(f"_b_{k}", F.lit(0))).alias(k) for k in values])
+
+
+def _all_same(df: DataFrame, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & df[k].eqNullSafe(F.col(f"_k{i}"))
+    return out
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str, width: int) -> DataFrame:
@@ -103,13 +174,13 @@ def next_child_ids(ontology: DataFrame, arrivals: DataFrame, order: str) -> Data
     """(parent_id, order, child_id): ids after each parent's largest child, by arrival.
 
     A parent is any entry of the ontology; without children it starts at 1.
+    Numbers run over range partitions, so a parent with many arrivals is no single task.
     Numbers have three digits at least and are kept whole beyond 999.
     """
     top = ontology.filter(F.col("ontology_id").rlike(r"\.\d+$")).groupBy("parent_id").agg(F.max(F.regexp_extract("ontology_id", r"\.(\d+)$", 1).cast("bigint")).alias("mx"))
     parents = ontology.select(F.col("ontology_id").alias("parent_id")).distinct().join(top, "parent_id", "left")
-    r = F.row_number().over(Window.partitionBy("parent_id").orderBy(order))
-    n = (F.coalesce("mx", F.lit(0)) + r).cast("string")
-    x = arrivals.join(parents, "parent_id")
+    x = running(arrivals.join(parents, "parent_id"), ["parent_id"], [F.col(order)], _n=F.lit(1))
+    n = (F.coalesce("mx", F.lit(0)) + F.col("_n")).cast("string")
     return x.select("parent_id", order, F.concat("parent_id", F.lit("."), F.when(F.length(n) > 3, n).otherwise(F.lpad(n, 3, "0"))).alias("child_id"))
 
 
@@ -131,3 +202,25 @@ def split_ids(ids: DataFrame, key: str, shares: dict[str, float], seed: int) ->
         cond = F.col("_r") <= F.lit(edge) * F.col("_t")
         part = F.when(cond, name) if part is None else part.when(cond, name)
     return x.select(key, part.otherwise(list(shares)[-1]).alias("part"))
+
+
+def lookup_in_array(df: DataFrame, key: str, ids: str, table: DataFrame, id_col: str, text: str, missing: str = "Sentence %s not found") -> DataFrame:
+    """Rows (key, texts): each id of an array replaced by its text, in order; an unknown one by the `missing` text (J12). Null arrays stay null."""
+    x = df.select(key, F.posexplode(ids).alias("_pos", "_id")).join(table.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_id", "left")
+    shown = F.coalesce("_text", F.format_string(missing, F.col("_id").cast("string")))
+    found = x.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", shown.alias("t")))), lambda s: s["t"]).alias("texts"))
+    empty = F.when(F.col(ids).isNotNull(), F.array().cast("array<string>"))
+    return df.join(found, key, "left").select(*df.columns, F.coalesce("texts", empty).alias("texts"))
+
+
+def select_features(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """The key and the listed columns, or an error naming those the frame lacks."""
+    return require_columns(df, key, *names).select(key, *names)
+
+
+def concat_columns(frames: list[DataFrame], key: str) -> DataFrame:
+    """Columns of several frames side by side by key; keys of any frame stay."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, key, "full_outer")
+    return out

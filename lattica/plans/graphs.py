@@ -213,11 +213,11 @@ def first_name_ids(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_N}, {_E}, X AS (SELECT n.node_id AS anchor_id, CASE WHEN e.src = n.node_id THEN 0 ELSE 1 END AS o, e.rel, e.src, e.dst, s.name AS sn, d.name AS dn FROM N n JOIN E e ON e.src = n.node_id OR e.dst = n.node_id JOIN N s ON e.src = s.node_id JOIN N d ON e.dst = d.node_id WHERE n.kind = 'Nation'),
-R AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY o, rel, dst, src) AS r FROM X) SELECT anchor_id, string_agg(CASE WHEN o = 0 THEN '-[' || rel || ']-> ' || dn ELSE '<-[' || rel || ']- ' || sn END, chr(10) ORDER BY r) AS context, count(*) AS lines FROM R WHERE r <= 180 GROUP BY 1""")
+R AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY o, rel, dst, src) AS r FROM X) SELECT anchor_id, string_agg(CASE WHEN o = 0 THEN '-[' || rel || ']-> ' || dn ELSE '<-[' || rel || ']- ' || sn END, chr(10) ORDER BY r) AS context, count(*) AS lines FROM R WHERE r <= 40 GROUP BY 1""")
 def context_lines(t: Tables) -> DataFrame:
-    """Each nation's edges as lines of text, at most 180."""
+    """Each nation's edges as lines of text, at most 40."""
     g = star_graph(t)
-    return G.linearize(G.khop_edges(g.edges, g.nodes.filter(G.has_labels("Nation")).select("node_id"), 1), g.nodes, 180)
+    return G.linearize(G.khop_edges(g.edges, g.nodes.filter(G.has_labels("Nation")).select("node_id"), 1), g.nodes, 40)
 
 
 @query("""SELECT node_type, n FROM (SELECT CASE WHEN x LIKE '%finding%label%' OR x = 'findinglabel' THEN 'FindingLabel' WHEN x = 'ecgfinding' THEN 'ECGFinding' WHEN x = 'diseaselabel' THEN 'DiseaseLabel' WHEN x = 'disease' THEN 'Disease' ELSE 'other' END AS node_type, count(*) AS n FROM (SELECT lower(regexp_replace(node_type, '[^A-Za-z]', '', 'g')) AS x FROM nodes) GROUP BY 1)""")

@@ -159,31 +159,36 @@ def truth_values(t: Tables) -> DataFrame:
     return t.events.select("event_id", truth(x).alias("ok"))
 
 
-_QV = "Q AS (SELECT label AS q, embedding AS qe FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r = 1)"
+_QV = "Q AS (SELECT vec_id AS q, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+def _asked(t: Tables) -> DataFrame:
+    """The stated queries: every row whose id is divisible by 20, searched among all rows."""
+    return t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
+
+
+def _near(t: Tables, k: int) -> DataFrame:
+    top = V.top_k(t.embeddings, _asked(t), "vec_id", "embedding", "q", "qe", k)
+    return top.join(t.embeddings.select("vec_id", "label"), "vec_id").join(_asked(t).select("q", "ql"), "q")
 
 
 @query(f"WITH {_QV}, X AS (SELECT q, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS sim FROM embeddings, Q) SELECT q, vec_id, sim, r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM X) WHERE r <= 5")
 def cosine_topk(t: Tables) -> DataFrame:
     """The five nearest vectors of each query vector."""
-    q = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qe")).select(F.col("label").alias("q"), "qe")
-    return V.top_k(t.embeddings, q, "vec_id", "embedding", "q", "qe", 5).select("q", "vec_id", "sim", F.col("r").cast("bigint").alias("r"))
+    return V.top_k(t.embeddings, _asked(t), "vec_id", "embedding", "q", "qe", 5).select("q", "vec_id", "sim", F.col("r").cast("bigint").alias("r"))
 
 
-@query(f"WITH {_QV}, X AS (SELECT q, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS sim FROM embeddings, Q) SELECT q, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM X) WHERE r <= 30 AND sim >= 0.1 AND sim < 0.999999 AND label <> q")
+@query(f"WITH {_QV}, X AS (SELECT q, ql, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS sim FROM embeddings, Q) SELECT q, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM X) WHERE r <= 30 AND sim >= 0.1 AND vec_id <> q AND label <> ql")
 def threshold_candidates(t: Tables) -> DataFrame:
     """Top k first, then threshold, self and type."""
-    q = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qe")).select(F.col("label").alias("q"), "qe")
-    top = V.top_k(t.embeddings, q, "vec_id", "embedding", "q", "qe", 30).join(t.embeddings.select("vec_id", "label"), "vec_id")
-    return top.filter("sim >= 0.1 and sim < 0.999999 and label <> q").select("q", "vec_id", "sim")
+    return _near(t, 30).filter("sim >= 0.1 and vec_id <> q and label <> ql").select("q", "vec_id", "sim")
 
 
-@query(f"WITH {_QV}, X AS (SELECT q, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS sim FROM embeddings, Q), T AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM X) SELECT q, vec_id, CASE WHEN label = q THEN 'EXACT' WHEN abs(label - q) = 1 THEN 'RELATED' ELSE 'NONE' END AS verdict FROM T WHERE r <= 8 AND abs(label - q) <= 1")
+@query(f"WITH {_QV}, X AS (SELECT q, ql, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS sim FROM embeddings, Q), T AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM X) SELECT q, vec_id, CASE WHEN label = ql THEN 'EXACT' WHEN abs(label - ql) = 1 THEN 'RELATED' ELSE 'NONE' END AS verdict FROM T WHERE r <= 8 AND abs(label - ql) <= 1")
 def align_verdicts(t: Tables) -> DataFrame:
     """Verdicts on the eight nearest, NONE dropped."""
-    q = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qe")).select(F.col("label").alias("q"), "qe")
-    top = V.top_k(t.embeddings, q, "vec_id", "embedding", "q", "qe", 8).join(t.embeddings.select("vec_id", "label"), "vec_id")
-    verdict = F.when(F.col("label") == F.col("q"), "EXACT").when(F.abs(F.col("label") - F.col("q")) == 1, "RELATED").otherwise("NONE")
-    return top.select("q", "vec_id", verdict.alias("verdict")).filter("verdict <> 'NONE'")
+    verdict = F.when(F.col("label") == F.col("ql"), "EXACT").when(F.abs(F.col("label") - F.col("ql")) == 1, "RELATED").otherwise("NONE")
+    return _near(t, 8).select("q", "vec_id", verdict.alias("verdict")).filter("verdict <> 'NONE'")
 
 
 @query("SELECT label, a, b, score FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(x.s + y.s, 6) AS score, row_number() OVER (PARTITION BY x.label ORDER BY round(x.s + y.s, 6) DESC, x.vec_id DESC, y.vec_id DESC) AS k FROM (SELECT label, vec_id, s, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM (SELECT label, vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS s FROM embeddings)) x JOIN (SELECT label, vec_id, s, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM (SELECT label, vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS s FROM embeddings)) y ON x.label = y.label AND x.r < y.r WHERE x.r <= 4 AND y.r <= 4) WHERE k <= 3")

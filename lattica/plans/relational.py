@@ -205,7 +205,7 @@ def section_stats(t: Tables) -> DataFrame:
     return t.chapter.filter("text is not null").groupBy("level").agg(F.count("*").alias("n"), F.sum(n).alias("chars"), F.max_by("id", F.struct(n, "id")).alias("longest"))
 
 
-@query("""SELECT chapter_id, CASE WHEN length(x) > 200 THEN substr(x, 1, 200) || '...' ELSE x END AS joined FROM (SELECT chapter_id, array_to_string(list(evidence_text ORDER BY ext_id)[1:3], ' | ') AS x FROM chapter_extraction_results WHERE evidence_text IS NOT NULL GROUP BY 1)""")
+@query("""SELECT chapter_id, CASE WHEN length(x) > 5000 THEN substr(x, 1, 5000) || '...' ELSE x END AS joined FROM (SELECT chapter_id, array_to_string(list(evidence_text ORDER BY ext_id)[1:3], ' | ') AS x FROM chapter_extraction_results WHERE evidence_text IS NOT NULL GROUP BY 1)""")
 def evidence_join(t: Tables) -> DataFrame:
     """The first three texts of a group, joined and cut beyond 5,000 characters. Rows are ranked before collecting, so no list grows beyond three."""
     w = Window.partitionBy("chapter_id").orderBy("ext_id")
@@ -244,20 +244,20 @@ def chapter_end_pages(t: Tables) -> DataFrame:
     return t.chapter.filter("start_page is not null").select("id", "book", "start_page", end.cast("int").alias("end_est"))
 
 
-@query("""SELECT parent_id, ext, child_id FROM (SELECT e.parent_id, m.cache_id AS ext, e.parent_id || '.' || lpad(CAST(e.mx + row_number() OVER (PARTITION BY e.parent_id ORDER BY m.cache_id) AS VARCHAR), 3, '0') AS child_id FROM
-(SELECT parent_id, max(CAST(regexp_extract(ontology_id, '\\.(\\d+)$', 1) AS BIGINT)) AS mx FROM ontology_entity WHERE regexp_matches(ontology_id, '\\.\\d+$') GROUP BY 1) e JOIN entity_mapping_cache m ON m.ontology_id = e.parent_id)""")
+@query("""SELECT parent_id, ext, parent_id || '.' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS child_id FROM (SELECT e.ontology_id AS parent_id, m.cache_id AS ext, COALESCE(mx, 0) + row_number() OVER (PARTITION BY e.ontology_id ORDER BY m.cache_id) AS n FROM ontology_entity e
+JOIN entity_mapping_cache m ON m.ontology_id = e.ontology_id LEFT JOIN (SELECT parent_id, max(CAST(regexp_extract(ontology_id, '\\.(\\d+)$', 1) AS BIGINT)) AS mx FROM ontology_entity WHERE regexp_matches(ontology_id, '\\.\\d+$') GROUP BY 1) x ON x.parent_id = e.ontology_id)""")
 def next_children(t: Tables) -> DataFrame:
     """The next free child ids below each parent, in order of arrival."""
     arrivals = t.entity_mapping_cache.select(F.col("ontology_id").alias("parent_id"), F.col("cache_id").alias("ext"))
     return next_child_ids(t.ontology_entity, arrivals, "ext")
 
 
-@query("""SELECT source, n_docs FROM (SELECT source, n_docs, sum(n_docs) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT source, count(*) AS n_docs FROM documents WHERE source IS NOT NULL GROUP BY 1)) WHERE run <= 800000000""")
+@query("""SELECT source, n_docs FROM (SELECT source, n_docs, sum(n_docs) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT source, count(*) AS n_docs FROM documents WHERE source IS NOT NULL GROUP BY 1)) WHERE run <= (SELECT count(*) * 2 // 5 FROM documents)""")
 def running_budget(t: Tables) -> DataFrame:
-    """Groups in order until a budget is spent."""
+    """Groups in order until a budget of two fifths of all rows is spent."""
     from lattica.operators.relational import within_budget
 
-    return within_budget(t.documents.filter("source is not null").groupBy("source").agg(F.count("*").alias("n_docs")), "source", "n_docs", 800000000).select("source", "n_docs")
+    return within_budget(t.documents.filter("source is not null").groupBy("source").agg(F.count("*").alias("n_docs")), "source", "n_docs", t.documents.count() * 2 // 5).select("source", "n_docs")
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 100000""")

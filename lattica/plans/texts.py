@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import text as X
-from lattica.functions.python_text import balanced_json_udf, batches_udf, fuzzy_ratio_udf, sentences_udf
+from lattica.functions.python_text import PROTECTED, balanced_json_udf, batches_udf, fuzzy_ratio_udf, sentences_udf
 from lattica.operators import entities as E
 from lattica.plans.registry import Registry, Tables
 from lattica.sources import documents as D
@@ -15,36 +15,53 @@ query = Registry()
 queries, oracle_sql = query.queries, query.oracle_sql
 
 
-@query(r"""SELECT doc_id, s AS sentence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS n FROM (SELECT doc_id, unnest(x) AS s, unnest(range(len(x))) AS k FROM (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL AND lang = 'en')) WHERE trim(s) <> ''""")
+@query(r"""SELECT doc_id, s AS sentence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS n FROM (SELECT doc_id, unnest(x) AS s, unnest(range(len(x))) AS k FROM (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL)) WHERE trim(s) <> ''""")
 def sentence_split(t: Tables) -> DataFrame:
-    """sentences of all English documents."""
-    x = t.documents.filter("text is not null and lang = 'en'").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence"))
+    """sentences of all documents."""
+    x = t.documents.filter("text is not null").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence"))
     return x.select("doc_id", "sentence", (F.col("n") + 1).cast("bigint").alias("n"))
 
 
-@query()
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _guarded(column: str) -> str:
+    """SQL that hides the points of abbreviations."""
+    out = column
+    for a in PROTECTED:
+        out = f"replace({out}, '{a}', '{a.replace('.', chr(0xE000))}')"
+    return out
+
+
+_PIECES = rf"list_filter(list_transform(string_split(regexp_replace({_guarded('text')}, '([.!?][\"'']*)({_SPACES}|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: replace(regexp_replace(x, '^{_SPACES}+|{_SPACES}+$', '', 'g'), '{chr(0xE000)}', '.')), lambda x: length(x) > 3)"
+_FOLD = "list_reduce(list_transform({x}, lambda s: {{'done': []::VARCHAR[], 'cur': s}}), lambda a, b: CASE WHEN length(a.cur) + {gap} + length(b.cur) <= 1200 THEN {{'done': a.done, 'cur': a.cur || {glue} || b.cur}} ELSE {{'done': list_append(a.done, a.cur), 'cur': b.cur}} END)"
+_S3 = r"list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')"
+
+
+@query(f"""SELECT id, CAST(unnest(range(len(c))) AS INTEGER) AS chunk_index, unnest(c) AS chunk FROM (SELECT id, list_append(r.done, r.cur) AS c FROM (SELECT id, {_FOLD.format(x='x', gap=1, glue="' '")} AS r FROM (SELECT id, {_S3} AS x FROM chapter WHERE text IS NOT NULL) WHERE len(x) > 0))""")
 def chunk_pack(t: Tables) -> DataFrame:
-    """Sentences packed into chunks; SQL has no fold, so tests compare with brute force."""
+    """Sentences packed into chunks."""
     x = t.chapter.filter("text is not null").select("id", F.posexplode(X.chunks(X.sentences(F.col("text")), 1200)).alias("chunk_index", "chunk"))
     return x.select("id", "chunk_index", "chunk")
 
 
-@query()
+@query(f"""SELECT id, CAST(unnest(range(len(c))) AS INTEGER) AS batch_no, unnest(c) AS batch FROM (SELECT id, list_append(r.done, r.cur) AS c FROM (SELECT id, {_FOLD.format(x='x', gap=2, glue='chr(10)')} AS r FROM
+(SELECT id, list_transform(s, lambda v, i: '[' || i || '] ' || v) AS x FROM (SELECT id, {_PIECES} AS s FROM chapter WHERE text IS NOT NULL)) WHERE len(x) > 0))""")
 def numbered_batches(t: Tables) -> DataFrame:
-    """Sentences by state machine, numbered and packed."""
-    return t.chapter.filter("text is not null and source_format <> 'pdf_scan'").select("id", F.posexplode(batches_udf("text")).alias("batch_no", "batch"))
+    """Sentences of all chapters, numbered and packed."""
+    return t.chapter.filter("text is not null").select("id", F.posexplode(batches_udf("text")).alias("batch_no", "batch"))
 
 
-@query()
+@query(f"SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS n, unnest(s) AS sentence FROM (SELECT doc_id, {_PIECES} AS s FROM documents WHERE text IS NOT NULL)")
 def protected_sentences(t: Tables) -> DataFrame:
     """sentences with abbreviations protected."""
-    return t.documents.filter("text is not null").select("doc_id", F.size(sentences_udf("text")).cast("bigint").alias("n"))
+    return t.documents.filter("text is not null").select("doc_id", F.posexplode(sentences_udf("text")).alias("n", "sentence"))
 
 
-@query(r"""SELECT node_id, regexp_replace(regexp_replace(name, '[\t\n\r\f ]+', ' ', 'g'), '^ | $', '', 'g') AS squeezed, lower(regexp_replace(regexp_replace(name, '[\t\n\r\f ]+', ' ', 'g'), '^ | $', '', 'g')) AS label FROM nodes WHERE name IS NOT NULL AND NOT regexp_matches(name, '[\v]')""")
+@query(r"""SELECT node_id, regexp_replace(regexp_replace(name, '[\t\n\x0b\r\f ]+', ' ', 'g'), '^ | $', '', 'g') AS squeezed, lower(regexp_replace(regexp_replace(name, '[\t\n\x0b\r\f ]+', ' ', 'g'), '^ | $', '', 'g')) AS label FROM nodes WHERE name IS NOT NULL""")
 def whitespace_normal(t: Tables) -> DataFrame:
     """squeezed white space and label keys."""
-    x = t.nodes.filter("name is not null").filter(~F.col("name").rlike(r"\x0b"))
+    x = t.nodes.filter("name is not null")
     return x.select("node_id", X.squeeze(F.col("name")).alias("squeezed"), X.label_key(F.col("name")).alias("label"))
 
 
@@ -54,8 +71,12 @@ def relation_names(t: Tables) -> DataFrame:
     return t.entity_mapping_cache.select("cache_id", X.relation_name(F.col("original_text")).alias("rel"))
 
 
-@query(r"""SELECT cache_id, CASE WHEN regexp_matches(ontology_id, '^TEMP_.+_\d+$') THEN CASE regexp_extract(ontology_id, '^TEMP_(.+)_\d+$', 1) WHEN 'diseases' THEN 'Diseases' WHEN 'treatments' THEN 'Treatments' WHEN 'signs_symptoms' THEN 'SignsSymptoms' ELSE 'other' END
-WHEN starts_with(ontology_id, 'SS') THEN 'SignSymptom' WHEN starts_with(ontology_id, 'DT') THEN 'DiagnosticTest' WHEN starts_with(ontology_id, 'PC') THEN 'PacingCondition' WHEN starts_with(ontology_id, 'TI') THEN 'TreatmentIntervention' WHEN starts_with(ontology_id, 'D') THEN 'Disease' END AS kind FROM entity_mapping_cache""")
+_TYPES = """CASE WHEN regexp_matches(ontology_id, '^TEMP_[a-zA-Z_]+_\\d+') THEN CASE lower(regexp_extract(ontology_id, '^TEMP_([a-zA-Z_]+)_\\d+', 1)) WHEN 'diseases' THEN 'Disease' WHEN 'disease' THEN 'Disease' WHEN 'symptoms' THEN 'Symptoms' WHEN 'treatments' THEN 'TreatmentIntervention' WHEN 'treatment' THEN 'TreatmentIntervention'
+WHEN 'intervention' THEN 'TreatmentIntervention' WHEN 'examinations' THEN 'DiagnosticTest' WHEN 'diagnostic_test' THEN 'DiagnosticTest' WHEN 'patient_characteristics' THEN 'PatientCharacteristics' END
+WHEN starts_with(ontology_id, 'SS') THEN 'Symptoms' WHEN starts_with(ontology_id, 'DT') THEN 'DiagnosticTest' WHEN starts_with(ontology_id, 'PC') THEN 'PatientCharacteristics' WHEN starts_with(ontology_id, 'TI') THEN 'TreatmentIntervention' WHEN starts_with(ontology_id, 'D') THEN 'Disease' END"""
+
+
+@query(f"SELECT cache_id, {_TYPES} AS kind FROM entity_mapping_cache")
 def types_of_ids(t: Tables) -> DataFrame:
     """Node types from ids."""
     return t.entity_mapping_cache.select("cache_id", X.type_of_id(F.col("ontology_id")).alias("kind"))
@@ -82,7 +103,7 @@ def json_repair(t: Tables) -> DataFrame:
     return t.events.filter("props is not null").withColumn("i", F.explode(item)).select("event_id", F.col("i.v.k").alias("k"), F.col("i.type").alias("event_type"))
 
 
-@query(r"""SELECT a.ontology_id AS a, b.ontology_id AS b, round(CASE WHEN a.name_en = b.name_en THEN 1.0::DOUBLE WHEN contains(a.name_en, b.name_en) OR contains(b.name_en, a.name_en) THEN 0.8::DOUBLE ELSE len(list_intersect(list_distinct(string_split(a.name_en, '')), list_distinct(string_split(b.name_en, '')))) * 1.0::DOUBLE / len(list_distinct(list_concat(string_split(a.name_en, ''), string_split(b.name_en, '')))) END, 6) AS sim FROM ontology_entity a JOIN ontology_entity b ON a.parent_id = b.parent_id AND a.ontology_id < b.ontology_id""")
+@query(r"""SELECT a.ontology_id AS a, b.ontology_id AS b, round(CASE WHEN x = y THEN 1.0::DOUBLE WHEN contains(x, y) OR contains(y, x) THEN 0.8::DOUBLE ELSE len(list_intersect(list_distinct(string_split(x, '')), list_distinct(string_split(y, '')))) * 1.0::DOUBLE / len(list_distinct(list_concat(string_split(x, ''), string_split(y, '')))) END, 6) AS sim FROM (SELECT *, lower(name_en) AS x FROM ontology_entity) a JOIN (SELECT *, lower(name_en) AS y FROM ontology_entity) b ON a.parent_id = b.parent_id AND a.ontology_id < b.ontology_id""")
 def term_similarities(t: Tables) -> DataFrame:
     """similarity of sibling terms."""
     o = t.ontology_entity.filter("parent_id is not null")
@@ -100,11 +121,10 @@ def fuzzy_ratios(t: Tables) -> DataFrame:
 
 @query()
 def name_cascade(t: Tables) -> DataFrame:
-    """Mentions settled by cache, exact and fuzzy names."""
+    """Mentions settled by cache, exact and fuzzy names."""
     m = t.chapter_extraction_results.select(F.col("ext_id").alias("mention_id"), F.col("knowledge_entity").alias("text"))
-    c = t.entity_mapping_cache.filter("match_method = 'llm' and ontology_id is not null").select(F.col("cache_key").alias("key"), "ontology_id").join(t.ontology_entity.select("ontology_id"), "ontology_id", "left_semi")
-    names = t.ontology_entity.select(F.col("name_en").alias("name"), "ontology_id").unionByName(t.ontology_entity.select(F.col("name_cn").alias("name"), "ontology_id"))
-    return E.cascade(m, c, names)
+    c = t.entity_mapping_cache.filter("ontology_id is not null").select(F.col("cache_key").alias("key"), "ontology_id").join(t.ontology_entity.select("ontology_id"), "ontology_id", "left_semi")
+    return E.cascade(m, c, E.exact_names(t.ontology_entity), t.ontology_entity.select(F.col("name_en").alias("name"), "ontology_id"))
 
 
 @query(r"""SELECT route, count(*) AS n FROM (SELECT CASE WHEN NOT COALESCE(o_totalprice / 400000, 0) > 0.8 THEN 'manual' WHEN o_orderstatus = 'F' THEN 'adopted' WHEN o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' THEN 'mapped' WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'manual' END AS route FROM orders) GROUP BY 1""")

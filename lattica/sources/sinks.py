@@ -63,11 +63,13 @@ def write_routes(df: DataFrame, path: str, route: str) -> None:
 
 
 def report(df: DataFrame, title: str, most: int = 200) -> str:
-    """A small summary as a Markdown table, at most `most` rows."""
-    rows = df.limit(most).collect()
+    """A small summary as a Markdown table (K08); beyond `most` rows its last line says how many more there are."""
+    rows = df.limit(most + 1).collect()
+    more = df.count() - most if len(rows) > most else 0
     head = "| " + " | ".join(df.columns) + " |"
-    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
-    return "\n".join([f"## {title}", "", head, "|" + " --- |" * len(df.columns), *body]) + "\n"
+    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:most]]
+    rest = ["", f"{more} more rows"] if more else []
+    return "\n".join([f"## {title}", "", head, "|" + " --- |" * len(df.columns), *body, *rest]) + "\n"
 
 
 def to_json_text(df: DataFrame, name: str = "json") -> DataFrame:
