@@ -39,8 +39,15 @@ def probabilities(models: dict, df: DataFrame, key: str) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, key: str, features: list[str], labels: list[str], folds: int = 5, **options) -> DataFrame:
-    """(key, label, p): each row's probability by models that never saw it; folds by a hash of the key."""
-    x = df.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    """(key, label, p): each row's probability by models that never saw it.
+
+    Folds are dealt in turn within each combination of labels, in the order of
+    a hash of the key, so every fold has its share of every combination.
+    """
+    from lattica.operators.relational import running
+
+    dealt = running(df.withColumn("_combo", F.concat_ws(",", *labels)), ["_combo"], [F.xxhash64(key), F.col(key)], _n=F.lit(1))
+    x = dealt.withColumn("_fold", F.col("_n") % folds).drop("_combo", "_n")
     out = None
     for k in range(folds):
         models = fit_labels(x.filter(F.col("_fold") != k), features, labels, **options)
@@ -52,5 +59,5 @@ def out_of_fold(df: DataFrame, key: str, features: list[str], labels: list[str],
 
 def select_features(models: dict, features: list[str], top: int = 50) -> list[tuple[str, float]]:
     """Features by mean importance over the labels' models, ties by name."""
-    mean = {f: sum(m.stages[-1].featureImportances[i] for m in models.values()) / max(1, len(models)) for i, f in enumerate(features)}
+    mean = {f: float(sum(m.stages[-1].featureImportances[i] for m in models.values())) / max(1, len(models)) for i, f in enumerate(features)}
     return sorted(mean.items(), key=lambda x: (-x[1], x[0]))[:top]
