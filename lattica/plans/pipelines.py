@@ -15,6 +15,7 @@ from lattica.operators import retrieval as V
 from lattica.operators.vectors import top_k
 from lattica.plans.graphs import _E, _N, BASE, star_graph
 from lattica.plans.registry import Registry, Tables
+from lattica.plans.texts import cascade_sql
 
 query = Registry()
 queries, oracle_sql = query.queries, query.oracle_sql
@@ -470,7 +471,11 @@ def validated_triples(t: Tables) -> DataFrame:
     return x.select("item_id", join(F.filter("r", lambda v: v <= 3)).alias("kept"), join(F.filter("r", lambda v: v > 3)).alias("dropped")).filter("kept <> ''")
 
 
-@query()
+_TOLD = "CASE WHEN c IS NOT NULL THEN 'cache_hit' WHEN e IS NOT NULL THEN 'exact' WHEN f IS NOT NULL THEN 'fuzzy' WHEN m IS NOT NULL THEN 'llm_match' ELSE 'new_entity' END"
+_EXACT = "match_method = 'exact'"
+
+
+@query(f"WITH {cascade_sql(_EXACT)} SELECT chapter_id, method, count(*) AS n FROM (SELECT chapter_id, CASE WHEN ext_id > min(ext_id) OVER (PARTITION BY M.k) AND {_TOLD} <> 'new_entity' THEN 'cache_hit' ELSE {_TOLD} END AS method FROM M LEFT JOIN D ON M.k = D.k) GROUP BY 1, 2")
 def normalization_stats(t: Tables) -> DataFrame:
     """Mentions of each chapter settled by the cascade with a model at its end, counted by method."""
     m = t.chapter_extraction_results.select(F.col("ext_id").alias("mention_id"), F.col("knowledge_entity").alias("text"))

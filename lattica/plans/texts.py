@@ -112,14 +112,35 @@ def term_similarities(t: Tables) -> DataFrame:
     return a.join(b, "parent_id").filter("a < b").select("a", "b", F.round(X.term_similarity(F.col("na"), F.col("nb")), 6).alias("sim"))
 
 
-@query()
+def indel_ratio(a: str, b: str) -> str:
+    """SQL of the indel ratio of two texts: rows of the longest common subsequence, each the running maximum of what a character of `a` adds to the row before."""
+    match = f"list_transform(string_split({a}, ''), lambda c: list_transform(string_split({b}, ''), lambda d: CASE WHEN c = d THEN 1 ELSE 0 END))"
+    zeros = f"list_transform(string_split({b}, ''), lambda d: 0)"
+    row = "list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(r[i], CASE WHEN m[i] = 1 THEN COALESCE(r[i - 1], 0) + 1 ELSE 0 END))))"
+    return f"CASE WHEN {a} = {b} THEN 100.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * list_reduce(list_prepend({zeros}, {match}), lambda r, m: {row})[-1] / (length({a}) + length({b})) END"
+
+
+@query(f"SELECT cache_id, round({indel_ratio('a', 'b')}, 6) AS ratio FROM (SELECT cache_id, lower(original_text) AS a, lower(normalized_name) AS b FROM entity_mapping_cache WHERE original_text IS NOT NULL AND normalized_name IS NOT NULL)")
 def fuzzy_ratios(t: Tables) -> DataFrame:
     """indel ratio of each typed text and its normalised name."""
     x = t.entity_mapping_cache.filter("original_text is not null and normalized_name is not null")
     return x.select("cache_id", F.round(fuzzy_ratio_udf(F.lower("original_text"), F.lower("normalized_name")), 6).alias("ratio"))
 
 
-@query()
+def cascade_sql(cache: str) -> str:
+    """CTEs of the name cascade up to D (k, c, e, f, m): ids by cache, exact name, fuzzy name, and the nearest name at all."""
+    return f"""M AS (SELECT ext_id, chapter_id, knowledge_entity AS text, lower(trim(knowledge_entity)) AS k FROM chapter_extraction_results), T AS (SELECT DISTINCT k FROM M WHERE k <> ''),
+C AS (SELECT lower(trim(cache_key)) AS k, min(ontology_id) AS c FROM entity_mapping_cache WHERE {cache} AND ontology_id IN (SELECT ontology_id FROM ontology_entity) GROUP BY 1),
+X AS (SELECT lower(trim(name)) AS k, min(ontology_id) AS e FROM (SELECT name_en AS name, ontology_id FROM ontology_entity UNION ALL SELECT name_cn, ontology_id FROM ontology_entity) GROUP BY 1),
+P AS (SELECT lower(trim(name_en)) AS n, min(ontology_id) AS f FROM ontology_entity GROUP BY 1), O AS (SELECT k, c, e FROM T LEFT JOIN C USING (k) LEFT JOIN X USING (k)),
+S AS (SELECT k, n, f, {indel_ratio('k', 'n')} AS s FROM O, P WHERE c IS NULL AND e IS NULL),
+D AS (SELECT O.k, c, e, z.f, z.m FROM O LEFT JOIN (SELECT k, arg_max(f, (s, reverse(n))) FILTER (WHERE s >= 80) AS f, arg_max(f, (s, -rank)) FILTER (WHERE s >= 1) AS m FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS rank FROM S) GROUP BY 1) z ON O.k = z.k)"""
+
+
+_METHOD = "CASE WHEN c IS NOT NULL THEN 'cache_hit' WHEN e IS NOT NULL THEN 'exact' WHEN f IS NOT NULL THEN 'fuzzy' ELSE 'new_entity' END"
+
+
+@query(f"WITH {cascade_sql('true')} SELECT ext_id AS mention_id, text, COALESCE(c, e, f) AS ontology_id, CASE WHEN ext_id > min(ext_id) OVER (PARTITION BY M.k) AND {_METHOD} <> 'new_entity' THEN 'cache_hit' ELSE {_METHOD} END AS method FROM M LEFT JOIN D ON M.k = D.k")
 def name_cascade(t: Tables) -> DataFrame:
     """Mentions settled by cache, exact and fuzzy names."""
     m = t.chapter_extraction_results.select(F.col("ext_id").alias("mention_id"), F.col("knowledge_entity").alias("text"))
