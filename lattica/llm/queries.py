@@ -110,5 +110,29 @@ SELECT min(root) AS group_id, v AS node_id FROM r GROUP BY v
 """
 
 
+#: fold() in SQL: what is neither letter nor digit goes, but for < and >, and points between digits (hidden as chr(1)).
+_LOW = r"regexp_replace(lower(COALESCE({c}, '')), '[\p{{Cf}}\x00\x02-\x08\x0e-\x1f\x7f-\x{{9f}}]', '', 'g')"
+_POINTS = r"regexp_replace(regexp_replace({x}, '(\p{{Nd}})\.(\p{{Nd}})', '\1' || chr(1) || '\2', 'g'), '(\p{{Nd}})\.(\p{{Nd}})', '\1' || chr(1) || '\2', 'g')"
+_FIELD = "(?:finding|lead|phase|grade|value)"
+
+
+def _folded(x: str) -> str:
+    return rf"replace(regexp_replace({_POINTS.format(x=x)}, '[^\p{{L}}\p{{Nd}}<>\x01]', '', 'g'), chr(1), '.')"
+
+
+def _fielded(c: str) -> str:
+    """fold_fields() in SQL."""
+    low = _LOW.format(c=c)
+    parts = rf"string_split(regexp_replace({low}, '(^|[^\p{{L}}\p{{Nd}}])({_FIELD}[\s\x0b\p{{Z}}]*[:=])', '\1' || chr(2) || '\2', 'g'), chr(2))"
+    keyed = f"list_transform(list_filter(list_transform({parts}, lambda p: {_folded('p')}), lambda p: p <> ''), lambda p: {{'o': COALESCE(list_position(['finding', 'lead', 'phase', 'grade', 'value'], regexp_extract(p, '^{_FIELD}')), 0), 'p': p}})"
+    return rf"CASE WHEN regexp_matches({low}, '^[^\p{{L}}\p{{Nd}}<>]*{_FIELD}[\s\x0b\p{{Z}}]*[:=]') THEN array_to_string(list_transform(list_sort({keyed}), lambda s: s.p), '') ELSE {_folded(low)} END"
+
+
+_LEGIBLE = r"regexp_matches(COALESCE({c}, ''), '[\p{{L}}\p{{Nd}}]')"
+_KEYS = f"""K AS (SELECT node_id, name, node_type, source, CASE WHEN {_LEGIBLE.format(c='name')} AND {_LEGIBLE.format(c='node_type')} THEN least(a, b) || '|' || greatest(a, b) END AS k FROM (SELECT *, {_fielded('name')} AS a, {_fielded('node_type')} AS b FROM nodes))"""
+_P1 = f"WITH {_KEYS} SELECT keep_id, CAST(node_id AS BIGINT) AS node_id FROM (SELECT node_id, CAST(min(node_id) OVER (PARTITION BY k) AS BIGINT) AS keep_id FROM K WHERE k IS NOT NULL) WHERE keep_id <> node_id"
+_P1_COLLAPSED = f"WITH {_KEYS}, C AS (SELECT min(node_id) AS node_id, count(*) AS copies FROM K WHERE k IS NOT NULL GROUP BY k UNION ALL SELECT node_id, 1 FROM K WHERE k IS NULL) SELECT CAST(node_id AS BIGINT) AS keep_id, copies, name, node_type, source FROM C JOIN K USING (node_id)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _P5}
+    return {"p1_found": _P1, "p1_collapsed": _P1_COLLAPSED, "p5_found": _P5}
