@@ -66,6 +66,18 @@ def _distance(a: str, b: str, most: int) -> int:
     """Edits with adjacent swaps (optimal string alignment), or most + 1."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # equal beginnings and ends don't matter
+    i, end = 0, min(len(a), len(b))
+    while i < end and a[i] == b[i]:
+        i += 1
+    k = 0
+    while k < end - i and a[-1 - k] == b[-1 - k]:
+        k += 1
+    a, b = a[i : len(a) - k], b[i : len(b) - k]
+    if not a or not b:
+        return min(max(len(a), len(b)), most + 1)
+    if most == 1:
+        return 1 if len(a) == len(b) == 1 or (len(a) == len(b) == 2 and a == b[::-1]) else 2
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
