@@ -135,6 +135,21 @@ def running(df: DataFrame, keys: list[str], order: list[Column], **values: Colum
     return joined.select(*df.columns, *[(F.col(f"_r_{k}") + F.coalesce(f"_b_{k}", F.lit(0))).alias(k) for k in values])
 
 
+def sliced(df: DataFrame, keys: list[str], order: list[Column], back: int = 0, ahead: int = 0, size: int = 1_000_000) -> DataFrame:
+    """The frame in slices of `size` rows of a key for windows that look at most `back` rows back and `ahead` rows ahead.
+
+    Adds _n (the row's place in its key, from 1), _slice and _own; each slice
+    has the rows of its neighbours that it looks at, for which _own is false.
+    Windows by (keys, _slice) over _n then see what they would see in the
+    whole key, and a hot key is many tasks.
+    """
+    x = running(df, keys, order, _n=F.lit(1)).withColumns({"_slice": F.floor((F.col("_n") - 1) / size), "_own": F.lit(True)})
+    place = (F.col("_n") - 1) % size
+    copied = lambda which, step: x.filter(which).withColumns({"_slice": F.col("_slice") + step, "_own": F.lit(False)})
+    out = x.unionByName(copied(place >= size - back, 1)) if back else x
+    return out.unionByName(copied(place < ahead, -1)) if ahead else out
+
+
 def _all_same(df: DataFrame, keys: list[str]) -> Column:
     out = F.lit(True)
     for i, k in enumerate(keys):

@@ -118,13 +118,18 @@ def kofm_intersection(t: Tables) -> DataFrame:
     return G.shared_neighbours(found, 3)
 
 
+def _nation_pairs(t: Tables) -> DataFrame:
+    """Pairs of nations of a region; nation is a table of fixed size."""
+    n = t.nation.select(F.col("n_regionkey").alias("r"), _id(2, "n_nationkey").alias("k"))
+    return n.select("r", F.col("k").alias("u")).join(n.select("r", F.col("k").alias("v")), "r").select("u", "v")
+
+
 @query("""SELECT CAST(2000000000 + a.n_nationkey AS BIGINT) AS u, CAST(2000000000 + b.n_nationkey AS BIGINT) AS v, CASE WHEN a.n_nationkey = b.n_nationkey THEN 0 ELSE 2 END AS len,
 CASE WHEN a.n_nationkey = b.n_nationkey THEN CAST(2000000000 + a.n_nationkey AS VARCHAR) ELSE concat_ws('>', 2000000000 + a.n_nationkey, 1000000000 + a.n_regionkey, 2000000000 + b.n_nationkey) END AS path FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey""")
 def shortest_paths(t: Tables) -> DataFrame:
-    """Shortest undirected paths over the hierarchy between all pairs of nations."""
+    """Shortest undirected paths over the hierarchy between the nations of a region."""
     g = star_graph(t)
-    n = t.nation.select(_id(2, "n_nationkey").alias("k"), F.lit(1).alias("one"))
-    pairs = n.select(F.col("k").alias("u"), "one").join(n.select(F.col("k").alias("v"), "one"), "one").select("u", "v")
+    pairs = _nation_pairs(t)
     found = G.shortest_paths(g.edges.filter("rel = 'HAS_CHILD'"), pairs, 4)
     return found.select("u", "v", "len", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
@@ -135,8 +140,7 @@ def path_steps(t: Tables) -> DataFrame:
     """The edge and direction of each step of the paths between nations."""
     g = star_graph(t)
     e = g.edges.filter("rel = 'HAS_CHILD'")
-    n = t.nation.select(_id(2, "n_nationkey").alias("k"), F.lit(1).alias("one"))
-    pairs = n.select(F.col("k").alias("u"), "one").join(n.select(F.col("k").alias("v"), "one"), "one").select("u", "v")
+    pairs = _nation_pairs(t)
     return G.path_edges(G.shortest_paths(e, pairs, 2).filter("len > 0"), e).select("u", "v", "pos", "src", "dst", "reversed")
 
 

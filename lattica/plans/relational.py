@@ -13,6 +13,7 @@ from lattica.operators.relational import (
     missing_keys,
     next_child_ids,
     reconcile_orphans,
+    sliced,
     unique_or_mixed,
 )
 from lattica.plans.registry import Registry, Tables
@@ -239,9 +240,11 @@ def first_of_key(t: Tables) -> DataFrame:
 @query("""SELECT id, book, start_page, CAST(greatest(start_page, COALESCE(lead(start_page) OVER (PARTITION BY book ORDER BY start_page, id) - 1, start_page + 2)) AS INTEGER) AS end_est FROM chapter WHERE start_page IS NOT NULL""")
 def chapter_end_pages(t: Tables) -> DataFrame:
     """A chapter ends before the next begins; the last has two pages more."""
-    w = Window.partitionBy("book").orderBy("start_page", "id")
+    own = t.chapter.filter("start_page is not null").select("id", "book", "start_page")
+    x = sliced(own, ["book"], [F.col("start_page"), F.col("id")], ahead=1)
+    w = Window.partitionBy("book", "_slice").orderBy("_n")
     end = F.greatest("start_page", F.coalesce(F.lead("start_page").over(w) - 1, F.col("start_page") + 2))
-    return t.chapter.filter("start_page is not null").select("id", "book", "start_page", end.cast("int").alias("end_est"))
+    return x.select("_own", "id", "book", "start_page", end.cast("int").alias("end_est")).filter("_own").drop("_own")
 
 
 @query("""SELECT parent_id, ext, parent_id || '.' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS child_id FROM (SELECT e.ontology_id AS parent_id, m.cache_id AS ext, COALESCE(mx, 0) + row_number() OVER (PARTITION BY e.ontology_id ORDER BY m.cache_id) AS n FROM ontology_entity e
@@ -319,8 +322,10 @@ def rollup_levels(t: Tables) -> DataFrame:
 @query("""SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM events""")
 def moving_average(t: Tables) -> DataFrame:
     """Frames and lag."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.select("event_id", F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("moving"), F.lag("event_id").over(w).alias("prior"))
+    x = sliced(t.events.select("event_id", "user_id", "ts", "value"), ["user_id"], [F.col("ts"), F.col("event_id")], back=2)
+    w = Window.partitionBy("user_id", "_slice").orderBy("_n")
+    y = x.select("_own", "event_id", F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("moving"), F.lag("event_id").over(w).alias("prior"))
+    return y.filter("_own").drop("_own")
 
 
 @query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

@@ -103,13 +103,12 @@ def json_repair(t: Tables) -> DataFrame:
     return t.events.filter("props is not null").withColumn("i", F.explode(item)).select("event_id", F.col("i.v.k").alias("k"), F.col("i.type").alias("event_type"))
 
 
-@query(r"""SELECT a.ontology_id AS a, b.ontology_id AS b, round(CASE WHEN x = y THEN 1.0::DOUBLE WHEN contains(x, y) OR contains(y, x) THEN 0.8::DOUBLE ELSE len(list_intersect(list_distinct(string_split(x, '')), list_distinct(string_split(y, '')))) * 1.0::DOUBLE / len(list_distinct(list_concat(string_split(x, ''), string_split(y, '')))) END, 6) AS sim FROM (SELECT *, lower(name_en) AS x FROM ontology_entity) a JOIN (SELECT *, lower(name_en) AS y FROM ontology_entity) b ON a.parent_id = b.parent_id AND a.ontology_id < b.ontology_id""")
+@query(r"""SELECT a.ontology_id AS a, b.ontology_id AS b, round(CASE WHEN x = y THEN 1.0::DOUBLE WHEN contains(x, y) OR contains(y, x) THEN 0.8::DOUBLE ELSE len(list_intersect(list_distinct(string_split(x, '')), list_distinct(string_split(y, '')))) * 1.0::DOUBLE / len(list_distinct(list_concat(string_split(x, ''), string_split(y, '')))) END, 6) AS sim FROM (SELECT *, lower(name_en) AS x FROM ontology_entity) a JOIN (SELECT *, lower(name_en) AS y FROM ontology_entity) b ON a.parent_id = b.ontology_id""")
 def term_similarities(t: Tables) -> DataFrame:
-    """similarity of sibling terms."""
-    o = t.ontology_entity.filter("parent_id is not null")
-    a = o.select(F.col("ontology_id").alias("a"), F.col("name_en").alias("na"), "parent_id")
-    b = o.select(F.col("ontology_id").alias("b"), F.col("name_en").alias("nb"), "parent_id")
-    return a.join(b, "parent_id").filter("a < b").select("a", "b", F.round(X.term_similarity(F.col("na"), F.col("nb")), 6).alias("sim"))
+    """similarity of each term to its parent's."""
+    up = t.ontology_entity.select(F.col("ontology_id").alias("b"), F.col("name_en").alias("nb"))
+    x = t.ontology_entity.select(F.col("ontology_id").alias("a"), F.col("name_en").alias("na"), F.col("parent_id").alias("b"))
+    return x.join(up, "b").select("a", "b", F.round(X.term_similarity(F.col("na"), F.col("nb")), 6).alias("sim"))
 
 
 def indel_ratio(a: str, b: str) -> str:

@@ -4,6 +4,7 @@ import random
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -75,6 +76,19 @@ def test_running_sums(spark):
     assert relational.running(spark.createDataFrame([], "key string, o int, v int"), ["key"], [F.col("o")], s=F.col("v")).collect() == []
 
 
+def test_slices_see_their_neighbours(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "a"]), k, rng.randrange(100)) for k in rng.sample(range(10_000), 200)]
+    x = relational.sliced(spark.createDataFrame(rows, "key string, o int, v int"), ["key"], [F.col("o")], back=2, ahead=1, size=7)
+    w = Window.partitionBy("key", "_slice").orderBy("_n")
+    got = x.select("_own", "key", "o", F.sum("v").over(w.rowsBetween(-2, 1)).alias("s"), F.lead("o").over(w).alias("nxt")).filter("_own").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = sorted((o, v) for k, o, v in rows if k == r.key)
+        i = own.index(next(x for x in own if x[0] == r.o))
+        assert r.s == sum(v for _, v in own[max(0, i - 2) : i + 2]) and r.nxt == (own[i + 1][0] if i + 1 < len(own) else None)
+
+
 def test_first_containment(spark):
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("ab") for _ in range(n))
