@@ -197,10 +197,25 @@ def _pages(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, ord, kind, level, path, text FROM (SELECT o_orderkey, 0 AS ord, 'heading' AS kind, 1 AS level, 'Head' AS path, 'Head' AS text FROM orders UNION ALL SELECT o_orderkey, 1, 'p', 1, 'Head', 'First ' || o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 2, 'heading', 2, 'Head / Sub', 'Sub' FROM orders UNION ALL SELECT o_orderkey, 3, 'li', 2, 'Head / Sub', '- item ' || o_orderstatus FROM orders)")
 def page_sections(t: Tables) -> DataFrame:
-    """Headings, paragraphs and list items with the headings above them."""
+    """Headings, paragraphs and list items of live pages with the headings above them."""
     return D.html_sections(_pages(t), "o_orderkey", "page")
 
 
+@query("SELECT o_orderkey, ord, kind, level, path, text FROM (SELECT o_orderkey, 0 AS ord, 'p' AS kind, 0 AS level, 'Untitled' AS path, 'before ' || o_orderkey AS text FROM orders UNION ALL SELECT o_orderkey, 1, 'heading', 2, o_orderpriority, o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 2, 'li', 1, o_orderpriority, '- item' FROM orders)")
+def chapter_sections(t: Tables) -> DataFrame:
+    """The body of a publisher's chapter without its figures."""
+    page = F.concat(F.lit("<body><p>top</p><div data-article-body='true'><p>before "), "o_orderkey", F.lit("</p><div class='c-article-table'><p>cell</p></div><h2>"), "o_orderpriority", F.lit("</h2><ul><li>item</ul><script>x</script></div><p>after</p></body>"))
+    return D.html_sections(t.orders.select("o_orderkey", page.alias("page")), "o_orderkey", "page", "chapter")
+
+
+@query("SELECT o_orderkey, ord, kind, level, path, text FROM (SELECT o_orderkey, 0 AS ord, 'heading' AS kind, 1 AS level, 'Long' AS path, 'Long' AS text, o_orderkey % 2 = 0 AS long FROM orders UNION ALL SELECT o_orderkey, 1, 'p', 1, 'Long', repeat('text ', 30) || o_orderkey, o_orderkey % 2 = 0 FROM orders) WHERE long UNION ALL SELECT o_orderkey, ord, kind, level, path, text FROM (SELECT o_orderkey, 0 AS ord, 'p' AS kind, 0 AS level, '' AS path, 'side' AS text FROM orders UNION ALL SELECT o_orderkey, 1, 'heading', 1, 'Long', 'Long' FROM orders UNION ALL SELECT o_orderkey, 2, 'p', 1, 'Long', 'short' FROM orders) WHERE o_orderkey % 2 <> 0")
+def saved_sections(t: Tables) -> DataFrame:
+    """The longest container of a saved page, else the page."""
+    body = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.repeat(F.lit("text "), 30), F.col("o_orderkey").cast("string"))).otherwise("short")
+    page = F.concat(F.lit("<body><div class='content'><p>side</p></div><main><h1>Long</h1><p>"), body, F.lit("</p></main></body>"))
+    return D.html_sections(t.orders.select("o_orderkey", page.alias("page")), "o_orderkey", "page", "saved")
+
+
 @query("SELECT o_orderkey, 0 AS table_ix, row_ix, 'Prices' AS caption, CASE row_ix WHEN 0 THEN 'k|v' ELSE o_orderkey || '|' || o_custkey END AS cells FROM orders, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS row_ix)")
 def page_tables(t: Tables) -> DataFrame:
     """Rows of tables with their captions."""

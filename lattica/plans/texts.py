@@ -184,7 +184,7 @@ def markdown_chapters(t: Tables) -> DataFrame:
 
 @query()
 def html_sections(t: Tables) -> DataFrame:
-    """Sections of chapters set as pages."""
+    """Sections of chapters set as pages."""
     page = F.concat(F.lit("<html><body><nav>menu</nav><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n\n", "<p>"), F.lit("<script>x</script></body>"))
     return D.html_sections(t.chapter.filter("source_format = 'html'").select("id", page.alias("page")), "id", "page").select("id", "ord", "kind", "level", "path", F.length("text").alias("size"))
 

@@ -12,19 +12,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SKIP = frozenset(("script", "style", "noscript", "template"))
+#: Elements without content in the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADING = re.compile(r"h[1-6]$")
 #: Classes of parts a publisher's page sets beside its text.
 ASIDE = frozenset("figure table sidebar caption footnote references nav header footer ads comments toolbar share".split())
 
+#: Exact classes left out of a publisher's chapter.
+CHAPTER_ASIDE = frozenset((
+    "app-article-access", "app-explore-related-subjects", "c-article-access-provider", "c-article-recommendations", "c-article-share-box", "c-article-sidebar", "c-article-section__figure",
+    "c-article-section__figure-caption", "c-article-section__figure-content", "c-article-section__figure-description", "c-article-section__figure-item", "c-article-table", "c-article-table__figcaption",
+))
+#: What may hold a saved page's text, by class, id, role and tag; the one with the longest text does, if that has more than 100 characters.
+CONTAINERS = {"class": frozenset("article-content widget-items chapter-para section content main-content full-text article-body".split()), "id": frozenset(("content", "main")), "role": frozenset(("main",)), "tag": frozenset(("article", "main"))}
+LEAST_TEXT = 100
+
 SECTION = "ord int, kind string, level int, path string, text string"
 
 
 class _Reader(HTMLParser):
     """One pass over a page; unclosed tags end with their parents."""
 
-    def __init__(self, base: str = ""):
+    def __init__(self, base: str = "", scope=None, asides=None):
         super().__init__(convert_charrefs=True)
+        self.scope, self.asides = scope, asides
+        self.open: list[tuple[int, int]] = []  # scopes open now: depth and number
+        self.sizes: list[int] = []  # characters of text in each scope
+        self.within: list[tuple[int, ...]] = []  # scopes of each row
+        self.block_scopes: tuple[int, ...] = ()
         self.base, self.rows, self.heads = base, [], []
         self.stack: list[str] = []
         self.block: str | None = None
@@ -44,6 +59,7 @@ class _Reader(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if self.block and text:
+            self.within.append(self.block_scopes)
             if _HEADING.match(self.block):
                 level = int(self.block[1])
                 self.heads = [h for h in self.heads if h[0] < level] + [(level, text)]
@@ -66,8 +82,14 @@ class _Reader(HTMLParser):
                 self.text.append("\n")
             return
         self.stack.append(tag)
-        aside = {*(a.get("class") or "").lower().replace("-", " ").split()} & ASIDE
-        if self.skip or tag in _SKIP or tag in ("nav", "aside", "footer") or aside:
+        if self.scope is not None and self.scope(tag, a):
+            self.open.append((len(self.stack), len(self.sizes)))
+            self.sizes.append(0)
+        if self.asides is None:
+            aside = tag in ("nav", "aside", "footer") or {*(a.get("class") or "").lower().replace("-", " ").split()} & ASIDE
+        else:
+            aside = {*(a.get("class") or "").split()} & self.asides
+        if self.skip or tag in _SKIP or aside:
             self.skip += 1
         if a.get("id"):
             self.inside.append(a["id"])
@@ -76,7 +98,7 @@ class _Reader(HTMLParser):
             self.text.append("\n")
         if tag in ("p", "li") or _HEADING.match(tag):
             self._flush()
-            self.block = tag
+            self.block, self.block_scopes = tag, tuple(i for _, i in self.open)
         elif tag == "table":
             self._flush()
             self.table, self.caption = [], ""
@@ -99,6 +121,7 @@ class _Reader(HTMLParser):
             self.table = None
         while self.stack:
             top = self.stack.pop()
+            self.open = [x for x in self.open if x[0] <= len(self.stack)]
             if self.skip:
                 self.skip -= 1
             if top == tag:
@@ -111,6 +134,8 @@ class _Reader(HTMLParser):
         if any(t in _SKIP for t in self.stack):
             return
         self.text.append(data)
+        for _, i in self.open:
+            self.sizes[i] += len(data.strip())
         for i in self.inside[-1:]:
             self.ids[i].append(data)
         if self.table is not None:
@@ -123,8 +148,8 @@ class _Reader(HTMLParser):
             self.buffer.append(data)
 
 
-def _read(html: str | None, base: str = "") -> _Reader:
-    r = _Reader(base)
+def _read(html: str | None, base: str = "", scope=None, asides=None) -> _Reader:
+    r = _Reader(base, scope, asides)
     r.feed((html or "").replace("\x00", ""))
     r.close()
     r._flush()
@@ -147,9 +172,43 @@ def _rows(df: DataFrame, id_col: str, html_col: str, make, schema: str, types: l
     return df.select(F.col(id_col), F.col(html_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
 
-def html_sections(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, ord, kind, level, path, text): headings, paragraphs and list items with the headings above them (S15-S17). Scripts, styles and asides are left out; null gives no rows."""
-    make = lambda h: [(k, *r) for k, r in enumerate(_read(h).rows)]
+def _container(tag: str, a: dict) -> bool:
+    return bool(tag in CONTAINERS["tag"] or {*(a.get("class") or "").split()} & CONTAINERS["class"] or a.get("id") in CONTAINERS["id"] or a.get("role") in CONTAINERS["role"])
+
+
+def _page_rows(html: str | None) -> list[tuple]:
+    return _read(html).rows
+
+
+def _chapter_rows(html: str | None) -> list[tuple]:
+    """Rows within the article's body, under "Untitled" before its first heading."""
+    r = _read(html, scope=lambda tag, a: tag == "div" and a.get("data-article-body") == "true", asides=CHAPTER_ASIDE)
+    return [(kind, level, path or "Untitled", text) for (kind, level, path, text), own in zip(r.rows, r.within, strict=True) if own]
+
+
+def _saved_rows(html: str | None) -> list[tuple]:
+    """Rows within the container that holds the most text, of the whole page if none holds enough."""
+    r = _read(html, scope=_container)
+    best = max(range(len(r.sizes)), key=lambda i: (r.sizes[i], -i), default=None)
+    if best is None or r.sizes[best] <= LEAST_TEXT:
+        return r.rows
+    return [row for row, own in zip(r.rows, r.within, strict=True) if best in own]
+
+
+#: Readers of a page's sections: of live pages, of publishers' chapters, of saved pages.
+VARIANTS = {"page": _page_rows, "chapter": _chapter_rows, "saved": _saved_rows}
+
+
+def html_sections(df: DataFrame, id_col: str, html_col: str, variant: str = "page") -> DataFrame:
+    """(id, ord, kind, level, path, text): headings, paragraphs and list items with the headings above them.
+
+    `page` reads a live page without its asides (S17, with html_tables and
+    html_images beside it), `chapter` a publisher's article body (S15), `saved`
+    the container with the longest text (S16). Scripts and styles are left out;
+    null gives no rows.
+    """
+    rows = VARIANTS[variant]
+    make = lambda h: [(k, *r) for k, r in enumerate(rows(h))]
     return _rows(df, id_col, html_col, make, SECTION, [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()], ["ord", "kind", "level", "path", "text"])
 
 

@@ -76,3 +76,13 @@ def test_streams_equal_batches(spark, sf_dir):
     assert {r.user_id: r.n for r in spark.table("counts").collect()} == {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
     run(windows.sessions(windows.event_stream(spark, sf_dir)), "sessions", "complete")
     assert sum(r.n for r in spark.table("sessions").collect()) == events.count()
+
+
+def test_variants_of_sections(spark):
+    long = "word " * 40
+    pages = [(1, f"<p>x</p><div data-article-body='true'><p>a<div class='c-article-table'><p>no</p></div><h1>H</h1><p>b</div><p>c"), (2, f"<div id='main'><p>short</p></div><article><section class='section'><p>{long}</p></section><p>end</p></article><p>out</p>"), (3, "<p>only</p>"), (4, None), (5, "<div class='content'><p>unclosed " + long)]
+    df = spark.createDataFrame(pages, "id int, html string")
+    got = lambda v: {i: [(r.path, r.text) for r in sorted(documents.html_sections(df, "id", "html", v).filter(f"id = {i}").collect(), key=lambda r: r.ord)] for i in range(1, 6)}
+    chapter, saved = got("chapter"), got("saved")
+    assert chapter[1] == [("Untitled", "a"), ("H", "H"), ("H", "b")] and chapter[2] == chapter[3] == chapter[4] == []
+    assert saved[2] == [("", long.strip()), ("", "end")] and saved[3] == [("", "only")] and saved[4] == [] and saved[5] == [("", f"unclosed {long}".strip())]
