@@ -413,7 +413,8 @@ def repaired(chapters: DataFrame) -> DataFrame:
     """(id, text) of all scanned chapters, repaired into paragraphs parted by an empty line; null and blank texts come out as they are.
 
     Findings are gathered by chapter, whose text bounds them; a chapter
-    delivered twice under another id is a chapter of its own.
+    delivered twice under another id is a chapter of its own; one without
+    id has no findings to be told from others, so only its lines are joined.
     """
     found = _findings(chapters).distinct().groupBy("id").agg(F.collect_list(F.struct("kind", "line_no", "token", "fix")).alias("found"))
     scans = chapters.filter(F.coalesce("source_format", F.lit("")) == "pdf_scan").select(F.col("id").cast("string"), "text")

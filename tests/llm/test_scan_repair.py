@@ -109,3 +109,10 @@ def test_repaired_paragraphs(spark):
     df = spark.createDataFrame(rows, "id string, title string, start_page int, end_page int, book string, text string, source_format string")
     got = {r.id: r.text for r in repaired(df).collect()}
     assert got == {"s1": "Some Title\n\nThe recording of leads 714 leads", "s2": None, "s3": " \n"}
+
+
+def test_repair_of_empty_tables_and_missing_ids(spark):
+    rows = [(None, "T", 1, 2, "B", "T\n\nleads of\nit", "pdf_scan", 3), ("x", None, None, None, None, "one\n\ntwo-\nfold", "pdf_scan", 3), ("x2", "T", 1, 2, None, "digital", "html", 3)]
+    df = spark.createDataFrame(rows, "id string, title string, start_page int, end_page int, book string, text string, source_format string, found int")
+    assert repaired(df.filter("false")).collect() == []
+    assert {r.id: r.text for r in repaired(df).collect()} == {None: "T\n\nleads of it", "x": "one\n\ntwofold"}
