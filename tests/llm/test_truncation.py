@@ -50,3 +50,54 @@ def test_documents(spark, texts):
     shares = source_shares(df).collect()
     assert sum(r.documents for r in shares) == len(rows) and {r.source for r in shares} == {"a", "b", None}
     assert cut_documents(df.filter("false")).collect() == []
+
+
+def test_every_document_teaches(spark):
+    """A closing line that stands only in documents beyond any share of 12,000 drawn by hash is learnt as complete."""
+    rng = random.Random(3)
+    ids = spark.range(12_600).selectExpr("id", f"pmod(xxhash64(id), {1 << 40}) >= {int(12_000 / 12_600 * (1 << 40))} AS late").collect()
+    late = [r.id for r in ids if r.late][:200]
+    assert len(late) == 200
+    ends = dict.fromkeys(late, "\nSigned Dr Okonkwo")
+    df = spark.createDataFrame([(r.id, f"{make(rng)} {make(rng)}{ends.get(r.id, '')}", "a") for r in ids], "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in cut_documents(df).collect()} & set(late) == set()
+
+
+def test_words_and_lines_are_counted_over_all_texts(spark, texts):
+    from collections import Counter
+
+    from lattica.llm.truncation import _keys, _line, gathered, inner_words, is_known, own_end, usual_lines
+
+    rng = random.Random(7)
+    rows = [t + rng.choice(["", "", "\nplan: rest", "\nplan: rest at ho", "\nplan: rest at home", "\nВрач", f" word{chr(97 + k % 26)}{chr(97 + k // 26)} and"]) for k, t in enumerate(texts)] + ["", "\n", texts[0] * 300]
+    df = spark.createDataFrame(list(enumerate(rows)), "h bigint, text string").repartition(5)
+    known, usual = gathered(df)
+    counts = Counter(w if isinstance(w, bytes) else w.encode() for t in rows for w in inner_words(t))
+    assert {w for w in counts if is_known(known, w)} == {w for w, n in counts.items() if n > 1}
+    lines = usual_lines([_line(core) for core in {own_end(t.rstrip()) for t in rows} if core])
+    keys, last = _keys(sorted(lines))
+    assert lines and sorted(keys[last]) == usual.tolist()
+
+
+def test_fit_depends_on_no_order(spark, texts, monkeypatch):
+    """Nor on whether the driver or the executors add the sums."""
+    rows = [(k, t[: len(t) - 15] if k % 9 == 0 else t, "a") for k, t in enumerate(texts)]
+    found = []
+    for part, n, few in ((rows, 1, 16), (rows[::-1], 4, 0)):
+        monkeypatch.setattr("lattica.llm.truncation.FEW_TASKS", few)
+        found.append({r.doc_id for r in cut_documents(spark.createDataFrame(part, "doc_id bigint, text string, source string").repartition(n)).collect()})
+    assert found[0] and found[0] == found[1]
+
+
+def test_stops_and_last_sentences():
+    import re
+
+    from lattica.llm.truncation import _TOKEN, _cuts, _last_sentence, _stops, _tokens
+
+    plain = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+(?=[^\sa-z])|(?<=[。！？])|\n\s*|(?<=[a-zé%0-9][.!?])(?=[A-Z])")
+    rng = random.Random(4)
+    for _ in range(2000):
+        t = "".join(rng.choice("ab.A !?。\n\n 9é\")]Z中_-<") for _ in range(rng.randrange(80))).rstrip()
+        assert list(zip(*_stops(t), strict=True)) == [m.span() for m in plain.finditer(t)]
+        assert _tokens(t) == _TOKEN.findall(t)
+        assert all(_last_sentence(r[1]) == r[0] for r in _cuts(t, 5, 4))
